@@ -8,7 +8,10 @@ from importlib import import_module
 _WHERE = {
     "op1_warc_revisits": "warc",
     "op2_external_shuffle": "sharding",
+    "op3_quality_sites": "quality",
     "op6_source_mix": "mixing",
+    "op9_toxicity": "toxicity",
+    "op10_benchmark_leaks": "decontamination",
 }
 _SQL = {"op1_warc_revisits": "warc"}
 
