@@ -8,6 +8,7 @@ executor costs a task retry and never a recomputation of the whole lineage.
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now: they go when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the scratch files behind a materialized frame that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -9,7 +9,9 @@ _WHERE = {
     "op1_warc_revisits": "warc",
     "op2_external_shuffle": "sharding",
     "op3_quality_sites": "quality",
+    "op5_jaccard_components": "jaccard",
     "op6_source_mix": "mixing",
+    "op7_fingerprint_index": "substrings",
     "op9_toxicity": "toxicity",
     "op10_benchmark_leaks": "decontamination",
 }
