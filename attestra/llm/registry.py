@@ -12,6 +12,7 @@ _WHERE = {
     "op5_jaccard_components": "jaccard",
     "op6_source_mix": "mixing",
     "op7_fingerprint_index": "substrings",
+    "op8_pruned_graph": "ann",
     "op9_toxicity": "toxicity",
     "op10_benchmark_leaks": "decontamination",
 }
