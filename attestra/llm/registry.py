@@ -9,6 +9,7 @@ _WHERE = {
     "op1_warc_revisits": "warc",
     "op2_external_shuffle": "sharding",
     "op3_quality_sites": "quality",
+    "op4_linear_grouping": "suffixdedup",
     "op5_jaccard_components": "jaccard",
     "op6_source_mix": "mixing",
     "op7_fingerprint_index": "substrings",
