@@ -11,9 +11,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +21,7 @@ from .common import mix, prefix_hash, span_hash, table, text_blocks
 from .linear import fit_logistic, logit, sigmoid
 
 #: Rows of each class that the model is fitted on, at most; everything is scored.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 #: Insults that the lexicon voters know from the start, two words a voter.
 INSULTS = (
     ("idiot", "moron"),
@@ -34,6 +31,8 @@ INSULTS = (
     ("trash", "scum"),
     ("disgusting", "filthy"),
 )
+#: Surface patterns that vote toxic where they match a lower-cased text, and abstain elsewhere.
+PATTERNS = (r"\byou (are|r) (a|an|such|so)\b", r"\b(shut up|hate you|kill yourself)\b")
 PREFIXES = (4, 5, 6)
 INDUCED_VOTERS = 10
 MAX_TERMS = 4000
@@ -76,33 +75,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         some = usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     ids = picked.select(F.col("doc_id").alias("_id"), "y")
+    low = F.lower(F.col(text))
+    patterns = [F.when(low.rlike(p), 1).otherwise(0).alias(f"v{k}") for k, p in enumerate(PATTERNS)]
+    patterns.append(F.when(F.length(low) < 40, -1).otherwise(0).alias(f"v{len(PATTERNS)}"))
     rows = docs.filter(F.col(text).isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))  # bounded: 2 * per_class rows
-    return rows.select(F.lower(F.col(text)).alias("t"), F.col(text).alias("raw"), "y", "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * per_class).collect()
-
-
-def _pattern_votes(raw: str) -> list[int]:
-    """Surface patterns; they abstain unless they have something to say."""
-    low = raw.lower()
-    return [
-        1 if re.search(r"\byou (are|r) (a|an|such|so)\b", low) else 0,
-        1 if re.search(r"\b(shut up|hate you|kill yourself)\b", low) else 0,
-        -1 if len(low) < 40 else 0,
-    ]
-
-
-def induced_terms(present: list[set], y: np.ndarray, least: int = 4, odds: float = 3.0) -> list[int]:
-    """Terms that toxic rows hold at least ``exp(odds)`` times as often as clean ones."""
-    pos, neg = Counter(), Counter()
-    for terms, label in zip(present, y, strict=True):
-        (pos if label else neg).update(terms)
-    n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    found = []
-    for term, k in pos.items():
-        if k >= least:
-            score = np.log((k + 0.2) / n1) - np.log((neg[term] + 0.2) / n0)
-            if score >= odds:
-                found.append((-score * np.sqrt(k), term))
-    return [term for _, term in sorted(found)[:MAX_TERMS]]
+    rows = rows.select("doc_id", low.alias("t"), "y", F.array(*patterns).alias("votes")).dropDuplicates(["doc_id"])
+    return rows.orderBy("doc_id").limit(2 * per_class).collect()
+
+
+def term_counts(rows: np.ndarray, terms: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms and in how many rows of class 1 and 0 each stands; pairs are distinct."""
+    found, at = np.unique(terms, return_inverse=True)
+    return found, np.bincount(at, weights=y[rows], minlength=len(found)), np.bincount(at, weights=1 - y[rows], minlength=len(found))
+
+
+def induced_terms(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, least: int = 4, odds: float = 3.0) -> np.ndarray:
+    """Terms that toxic rows hold at least ``exp(odds)`` times as often as clean ones, best first."""
+    found, pos, neg = term_counts(rows, terms, y)
+    score = np.log((pos + 0.2) / max(y.sum(), 1)) - np.log((neg + 0.2) / max((1 - y).sum(), 1))
+    good = np.flatnonzero((pos >= least) & (score >= odds))
+    return found[good[np.argsort(-score[good] * np.sqrt(pos[good]), kind="stable")]][:MAX_TERMS]
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, dict]:
@@ -139,28 +131,29 @@ def train(sample: list) -> tuple[np.ndarray, np.ndarray, float]:
         terms = np.array(sorted(known), np.uint64)
         return terms, np.full(len(terms), 4.0), -3.0
     y = np.array([r["y"] for r in sample], float)
-    present: list[set] = []
+    pairs = []
     for first, data, offsets in text_blocks(pa.array([r["t"] for r in sample], pa.large_string())):
         rows, terms = terms_of_block(data, offsets)
-        order = np.argsort(rows, kind="stable")
-        present += [set(x.tolist()) for x in np.split(terms[order], np.searchsorted(rows[order], np.arange(1, len(offsets) - 1)))]
-    induced = induced_terms(present, y)
-    groups = [{t for t in induced if t % INDUCED_VOTERS == k} for k in range(INDUCED_VOTERS)]
-    votes = []
-    for terms, r in zip(present, sample, strict=True):
-        line = [int(any(t in terms for t in pair)) for pair in lexicon] + [int(not terms.isdisjoint(g)) for g in groups]
-        line += _pattern_votes(r["raw"])
-        line.append(0 if any(v == 1 for v in line) else -1)
-        votes.append(line)
+        order = np.lexsort((terms, rows))
+        rows, terms = rows[order] + first, terms[order]
+        new = np.r_[True, (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])] if len(rows) else np.zeros(0, bool)
+        pairs.append((rows[new].astype(np.int32), terms[new]))
+    rows, terms = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    induced = induced_terms(rows, terms, y)
+    groups = [list(pair) for pair in lexicon] + [[int(t) for t in induced if t % INDUCED_VOTERS == k] for k in range(INDUCED_VOTERS)]
+    votes = np.zeros((len(sample), len(groups) + len(PATTERNS) + 2), int)
+    for k, group in enumerate(groups):
+        votes[rows[np.isin(terms, np.array(group, np.uint64))], k] = 1
+    votes[:, len(groups) : -1] = [r["votes"] for r in sample]
+    votes[:, -1] = np.where((votes == 1).any(axis=1), 0, -1)  # no voter saw anything
     prior = float(np.clip(y.mean(), 0.02, 0.5))
-    post, _ = label_model(np.array(votes), prior)
-    vocabulary = np.array(sorted(known | set(induced)), np.uint64)
-    at = {int(t): i for i, t in enumerate(vocabulary)}
-    x = np.zeros((len(sample), len(vocabulary)))
-    for i, terms in enumerate(present):
-        x[i, [at[t] for t in terms if t in at]] = 1
+    post, _ = label_model(votes, prior)
+    vocabulary = np.unique(np.r_[np.array(sorted(known), np.uint64), induced])
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    hit = vocabulary[at] == terms
+    x = np.zeros((len(sample), len(vocabulary)), np.float32)
+    x[rows[hit], at[hit]] = 1
     w, b = fit_logistic(x, post, l2=0.5, steps=300)
-    # A few terms carry a verdict; without any, the row is clean.
     return vocabulary, w, b
 
 
