@@ -1,9 +1,9 @@
 """op10 -- benchmark decontamination by SimHash windows, multi-index Hamming blocks and exact verification.
 
-Items are grouped in classes of similar length.  A class has one window width (two thirds of its
-shortest item) and a stride such that every stretch of text as long as an item holds a whole
-window at the stride.  The index holds the SimHash of *every* window of every item, so a copied
-passage meets one of them at distance 0 wherever it starts, and an edited one stays near.
+Documents are cut into tiles of a few words, and windows are two adjacent tiles; longer windows
+add up shorter tiles.  An item belongs to the widest windows of which any stretch of its length
+holds a whole one.  The index holds the SimHash of *every* window of that width in the item, so a
+copied passage meets one of them at distance 0 wherever it starts, and an edited one stays near.
 
 Fingerprints within ``RADIUS`` of an indexed one are all found: of four 16-bit blocks at least one
 differs by at most ``RADIUS // 4`` bits, and the index lists each block's neighbours at that
@@ -30,12 +30,13 @@ from .common import lower_ascii, shingle_hashes, table, text_blocks, word_hashes
 RADIUS = 7
 SHINGLE = 5
 SIMILARITY = 0.75
-#: Items a pass over the documents looks for (an index of about 100 MB for 40-word items).
-ITEM_BLOCK = 20_000
+#: Items a pass over the documents looks for (an index of about 20 MB for 40-word items).
+ITEM_BLOCK = 2_000
 #: Words a verified passage may be longer or shorter than the item, on either side.
 SLACK = 2
 
 _BLOCKS, _BITS = 4, 16
+_SHIFTS = sorted(((d, e) for d in range(-SLACK, SLACK + 1) for e in range(-SLACK, SLACK + 1)), key=lambda x: (abs(x[0]) + abs(x[1]), x))
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -44,20 +45,22 @@ def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _POP[x].sum(1)
 
 
-def _running_bits(words: np.ndarray) -> np.ndarray:
-    """Row ``i``: how many of the first ``i`` words have each of 64 hash bits set (mod 2**16)."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-    out = np.zeros((len(words) + 1, 64), np.uint16)
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=out[1:])
-    return out
+def _tiles(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Per tile of ``size`` words from ``starts``, how many words have each of 64 hash bits set."""
+    picked = words[starts[:, None] + np.arange(size)]
+    bits = np.unpackbits(picked.view(np.uint8).reshape(len(starts), size, 8), axis=2)
+    return bits.sum(axis=1, dtype=np.uint8 if size < 128 else np.uint16).reshape(len(starts), 64).astype(np.uint16)
 
 
-def simhashes(running: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of the windows of ``width`` words from ``starts``: the majority of each hash bit."""
-    ones = running[starts + width] - running[starts]
+def _majority(ones: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(ones > width // 2, axis=1).view(np.uint64).ravel()
 
 
+def simhashes(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of the windows of ``width`` words from ``starts``: the majority of each hash bit."""
+    return _majority(_tiles(words, starts, width), width)
+
+
 def shingle_set(words: np.ndarray) -> np.ndarray:
     """Shingles of five words; fewer words are one shingle, no words none."""
     return shingle_hashes(words, min(SHINGLE, len(words))) if len(words) else np.empty(0, np.uint64)
@@ -79,23 +82,28 @@ class ItemIndex:
         self.shingles, self.weights = held, np.log1p(len(self.items) / np.maximum(counts, 1))
         self.rare = log(1 + len(self.items)) if self.items else 1.0
         self.totals = [float((self.weigh(s) * n).sum()) for s, n in self.sets]
+        least = min((len(w) for _, w in self.items), default=2)
+        self.tile = max(1, (least + 1) // 3)
         self.classes = []
-        todo = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
-        while todo:
-            least = len(self.items[todo[0]][1])
-            group = [k for k in todo if len(self.items[k][1]) < max(1.5 * least, least + 1)]
-            todo = todo[len(group) :]
-            width = ceil(2 * least / 3) if least >= 6 else least
-            prints, owner, shift = [], [], []
-            for k in group:
-                w = self.items[k][1]
-                starts = np.arange(len(w) - width + 1)
-                prints.append(simhashes(_running_bits(w), starts, width))
-                owner += [k] * len(starts)
-                shift += starts.tolist()
-            self.classes.append((width, least - width + 1, np.concatenate(prints), np.array(owner), np.array(shift)))
+        level = 0
+        while any(len(w) >= 3 * (self.tile << level) - 1 for _, w in self.items):
+            stride = self.tile << level
+            group = [k for k, (_, w) in enumerate(self.items) if 3 * stride - 1 <= len(w) < 6 * stride - 1]
+            self._add(level, 2 * stride, group)
+            level += 1
+        self._add(-1, 1, [k for k, (_, w) in enumerate(self.items) if len(w) == 1])  # one word, one tile
         self.tables = [[self._table(c[2], b) for b in range(_BLOCKS)] for c in self.classes]
 
+    def _add(self, level: int, width: int, group: list[int]) -> None:
+        prints, owner, shift = [], [], []
+        for k in group:
+            starts = np.arange(len(self.items[k][1]) - width + 1)
+            prints.append(simhashes(self.items[k][1], starts, width))
+            owner += [k] * len(starts)
+            shift += starts.tolist()
+        if group:
+            self.classes.append((level, width, np.concatenate(prints), np.array(owner), np.array(shift)))
+
     @staticmethod
     def _table(prints: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
         """Posting lists by block value, neighbours within ``RADIUS // _BLOCKS`` bits included."""
@@ -114,26 +122,43 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
         return np.where(self.shingles[at] == shingles, self.weights[at], self.rare)
 
-    def similarity(self, k: int, words: np.ndarray) -> float:
-        """Weighted Jaccard similarity (of multisets) of item ``k`` and a passage."""
+    def similarity(self, k: int, shingles: np.ndarray) -> float:
+        """Weighted Jaccard similarity (of multisets) of item ``k`` and a passage's shingles."""
         mine, n = self.sets[k]
-        theirs, m = np.unique(shingle_set(words), return_counts=True)
+        theirs, m = np.unique(shingles, return_counts=True)
         _, a, b = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
         both = float((self.weigh(mine[a]) * np.minimum(n[a], m[b])).sum())
         total = self.totals[k] + float((self.weigh(theirs) * m).sum()) - both
         return both / total if total else 0.0
 
+    def hopeless(self, k: int, shingles: np.ndarray) -> bool:
+        """Whether no part of the passage can be similar enough: too little of the item is in it."""
+        mine, n = self.sets[k]
+        held = np.isin(mine, shingles)
+        return float((self.weigh(mine[held]) * n[held]).sum()) < SIMILARITY * self.totals[k] - 1e-9
+
     def candidates(self, words: np.ndarray, first: np.ndarray):
         """Yield ``(item, start)`` arrays: where items would start in a block of documents' words."""
-        running = _running_bits(words)
-        counts = np.diff(first)
-        for (width, stride, prints, owner, shift), tables in zip(self.classes, self.tables, strict=True):
-            n = np.maximum((counts - width) // stride + 1, 0) * (counts >= width)
-            if not n.sum():
+        counts = np.diff(first) // self.tile
+        where = np.cumsum(counts) - counts
+        starts = np.repeat(first[:-1] - where * self.tile, counts) + np.arange(counts.sum()) * self.tile
+        tiles, at = _tiles(words, starts, self.tile), 0
+        for (level, width, prints, owner, shift), tables in zip(self.classes, self.tables, strict=True):
+            while at < level:  # two tiles are one of the next level, from each document's start
+                pairs = counts // 2
+                begin = np.cumsum(pairs) - pairs
+                left = np.repeat(where - 2 * begin, pairs) + 2 * np.arange(pairs.sum())
+                tiles, starts, counts, where, at = tiles[left] + tiles[left + 1], starts[left], pairs, begin, at + 1
+            if level < 0:
+                starts = np.arange(len(words))
+                found = simhashes(words, starts, 1)
+            else:
+                n = np.maximum(counts - 1, 0)
+                left = np.repeat(where - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found = _majority(tiles[left] + tiles[left + 1], width)
+            begins = starts if level < 0 else starts[left]
+            if not len(found):
                 continue
-            at = np.cumsum(n) - n
-            starts = np.repeat(first[:-1] - at * stride, n) + np.arange(n.sum()) * stride
-            found = simhashes(running, starts, width)
             parts = found.view(np.uint16).reshape(-1, _BLOCKS)
             seen = []
             for b, (offsets, posting) in enumerate(tables):
@@ -148,12 +173,14 @@ class ItemIndex:
                 seen.append(which[near] * np.int64(len(prints)) + entry[near])
             pairs = np.unique(np.concatenate(seen))
             entry = pairs % len(prints)
-            yield owner[entry], starts[pairs // len(prints)] - shift[entry]
+            yield owner[entry], begins[pairs // len(prints)] - shift[entry]
 
     def search(self, column: pa.Array):
         """Yield ``(row, item, similarity, first word, words)``, the best of each row and item."""
         for first_row, data, offsets in text_blocks(column, 1 << 18):
             words, first = word_hashes(lower_ascii(data), offsets)
+            full = shingle_hashes(words, SHINGLE)
+            part = lambda a, z: full[a : z - SHINGLE + 1] if z - a >= SHINGLE else shingle_set(words[a:z])  # noqa: E731, B023
             best: dict[tuple[int, int], tuple] = {}
             tried: set[tuple[int, int]] = set()
             for owners, starts in self.candidates(words, first):
@@ -165,13 +192,14 @@ class ItemIndex:
                     middle = min(max(start + length // 2, 0), len(words) - 1)
                     row = int(np.searchsorted(first, middle, side="right")) - 1
                     lo, hi = int(first[row]), int(first[row + 1])
-                    for d in range(-SLACK, SLACK + 1):
-                        for e in range(-SLACK, SLACK + 1):
-                            a, z = max(start + d, lo), min(start + length + e, hi)
-                            if a < z and (sim := self.similarity(k, words[a:z])) >= SIMILARITY:
-                                got = (sim, -(a - lo), z - a)
-                                if got > best.get((row, k), (0.0,)):
-                                    best[row, k] = got
+                    if length > SHINGLE + 2 * SLACK and self.hopeless(k, part(max(start - SLACK, lo), min(start + length + SLACK, hi))):
+                        continue
+                    for d, e in _SHIFTS:
+                        if best.get((row, k), (0.0,))[0] >= 1:  # it cannot get better
+                            break
+                        a, z = max(start + d, lo), min(start + length + e, hi)
+                        if a < z and (sim := self.similarity(k, part(a, z))) >= SIMILARITY:
+                            best[row, k] = max(best.get((row, k), (0.0,)), (sim, -(a - lo), z - a))
             for (row, k), (sim, start, n) in sorted(best.items()):
                 yield first_row + row, self.items[k][0], sim, -start, n
 
