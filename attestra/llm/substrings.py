@@ -2,12 +2,12 @@
 
 Documents arrive in batches, in document order.  A batch's anchors (see ``winnow``: every window of
 13 words holds one) are written as an immutable run sorted by fingerprint.  The run is merge-joined
-with the historical runs; fingerprints that another document holds name the windows to verify.
-Those windows' full 128-bit hashes, of new and historical documents alike, decide which window
-starts in an earlier document.  Runs are compacted into one when there are ``FAN_IN`` of them.
+with the historical runs; a fingerprint that another document holds as well names contexts (runs of
+windows under one anchor) to verify, in new and historical documents alike.
 
-Run rows are pre-aggregated to (fingerprint, earliest document, latest document), so a fingerprint
-that a third of the corpus holds is one row of a run.
+Verification first compares whole contexts: one that an earlier document holds too is a repeat.
+Where a fingerprint has different contexts, their windows are compared one by one.  Runs are
+compacted into one when there are ``FAN_IN`` of them.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ FAN_IN = 4
 _LAST = (1 << 63) - 1
 
 
-def _keys(key: Column, text: Column) -> list[Column]:
-    """Order of a document (null last) and a digest that tells rows of one key apart."""
-    return [F.coalesce(key.cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(text).alias("t")]
+def _keys(docs: DataFrame, key: str, text: str) -> list[Column]:
+    """``o, t``: a document's order (null last) and, where keys repeat, what tells their rows apart."""
+    order = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
+    unique = docs.groupBy(order).count().filter("count > 1").isEmpty()
+    return [order.alias("o"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("t")]
 
 
 def _anchors(batches):
@@ -52,19 +54,20 @@ def _anchors(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(signed(fp[new]))], names=names)
 
 
-def window_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows at ``starts``."""
-    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    other = mix(words ^ np.uint64(0xA0761D6478BD642F))
+def window_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at ``starts``."""
+    out = np.zeros(len(starts), np.uint64)
     for j in range(WINDOW):
-        one += words[starts + j] * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64))
-        two += other[starts + j] * np.uint64(pow(0xE7037ED1A0B428DB, j + 1, 1 << 64))
-    return mix(one), mix(two)
+        out += words[starts + j] * np.uint64(pow(0xE7037ED1A0B428DB, j + 1, 1 << 64))
+    return mix(out)
 
 
-def _windows(batches):
-    """Windows of rows ``o, t, text, shared`` whose anchor is among the row's shared fingerprints."""
-    names = ["o", "t", "h1", "h2", "start"]
+def _contexts(batches):
+    """Contexts of rows ``o, t, text, shared`` under shared fingerprints, with their windows' hashes.
+
+    Hashes are compared under one fingerprint and place only, so 128 bits must agree.
+    """
+    names = ["fp", "digest", "o", "t", "start", "place", "windows"]
     for batch in batches:
         shared = batch.column(3)
         flat, ends = shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(np.r_[0, shared.value_lengths().to_numpy(zero_copy_only=False)])
@@ -77,88 +80,108 @@ def _windows(batches):
             of = np.repeat(np.arange(n, dtype=np.uint64), np.diff(ends[first : first + n + 1]))
             wanted = np.unique(mix(flat[ends[first] : ends[first + n]] ^ mix(of + np.uint64(1))))
             hit = np.isin(mix(grams[anchor] ^ mix(row.astype(np.uint64) + np.uint64(1))), wanted)
-            starts, which = ranges(lo[hit], hi[hit])
-            h1, h2 = window_hashes(words, starts)
-            rows = row[hit][which]
-            take = pa.array(first + rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(signed(h1)), pa.array(signed(h2)), pa.array((starts - at[rows]).astype(np.int32))], names=names
-            )
+            row, lo, hi, anchor = row[hit], lo[hit], hi[hit], anchor[hit]
+            starts, which = ranges(lo, hi)
+            hashes = window_hashes(words, starts)
+            digest = np.zeros(len(row), np.uint64)
+            np.add.at(digest, which, mix(hashes + (starts - anchor[which]).astype(np.uint64)))
+            take = pa.array(first + row)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hi - lo + 1)].astype(np.int32)), pa.array(signed(hashes)))
+            columns = [pa.array(signed(grams[anchor])), pa.array(signed(mix(digest))), batch.column(0).take(take), batch.column(1).take(take)]
+            columns += [pa.array((lo - at[row]).astype(np.int32)), pa.array((lo - anchor).astype(np.int32)), lists]
+            for i in range(0, max(len(row), 1), 16384):
+                yield pa.RecordBatch.from_arrays([c[i : i + 16384] for c in columns], names=names)
+
+
+_CONTEXT = "fp long, digest long, o long, t long, start int, place int, windows array<long>"
 
 
 class FingerprintIndex:
-    """Immutable sorted runs ``fp, first, last`` of the documents seen so far, newest last."""
+    """Immutable runs ``fp, o, t`` of the documents seen so far, each sorted by fingerprint."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.runs: list[DataFrame] = []
-        self.postings: list[DataFrame] = []  # fp, o, t per run: where to verify
         self.texts: list[DataFrame] = []
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Append a batch ``o, t, text`` as a run; returns fingerprints that it shares with another document."""
-        postings = materialize(docs.mapInArrow(_anchors, "o long, t long, fp long"), "anchors")
-        run = postings.groupBy("fp").agg(F.min("o").alias("first"), F.max("o").alias("last")).sortWithinPartitions("fp")
+        """Append a batch ``o, t, text`` as a run; returns the fingerprints it shares with another document."""
+        run = docs.mapInArrow(_anchors, "o long, t long, fp long").repartition("fp").sortWithinPartitions("fp")
         run = materialize(run, "run")
+        shared = run.groupBy("fp").agg(F.min("o").alias("a"), F.max("o").alias("b")).filter("a < b").select("fp")
+        for old in self.runs:  # a merge join with each sorted run
+            shared = shared.unionByName(run.select("fp").join(old.select("fp").hint("merge"), "fp", "left_semi"))
+        shared = materialize(shared.distinct(), "shared")
         release(self.spark)
-        inner = run.filter("first < last").select("fp")
-        for old in self.runs:  # sorted runs: a merge join each
-            both = run.join(old.withColumnsRenamed({"first": "f", "last": "l"}).hint("merge"), "fp")
-            inner = inner.unionByName(both.filter(F.least("first", "f") < F.greatest("last", "l")).select("fp"))
-        shared = materialize(inner.distinct(), "shared")
         self.runs.append(run)
-        self.postings.append(postings)
         self.texts.append(docs)
         if len(self.runs) >= FAN_IN:
             self.compact()
         return shared
 
     def compact(self) -> None:
-        """Merge all runs into one: equal fingerprints keep their earliest and latest document."""
+        """Merge all runs into one."""
         rows = self.runs[0]
         for run in self.runs[1:]:
             rows = rows.unionByName(run)
-        merged = materialize(rows.groupBy("fp").agg(F.min("first").alias("first"), F.max("last").alias("last")).sortWithinPartitions("fp"), "run")
+        merged = materialize(rows.repartition("fp").sortWithinPartitions("fp"), "run")
         for run in self.runs:
             discard(self.spark, run)
         self.runs = [merged]
 
-    def repeats(self, shared: DataFrame) -> DataFrame:
-        """Verify: ``o, t, starts`` of the windows of the newest batch that start in an earlier document."""
-        lists, texts = None, None
-        for postings, docs in zip(self.postings, self.texts, strict=True):
-            some = postings.join(shared, "fp")
-            lists = some if lists is None else lists.unionByName(some)
-            texts = docs if texts is None else texts.unionByName(docs)
-        lists = materialize(lists.groupBy("o", "t").agg(F.collect_set("fp").alias("shared")), "lists")
-        release(self.spark)
-        texts = texts.join(lists.withColumnsRenamed({"o": "_o", "t": "_t"}), (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t")))
-        windows = materialize(texts.select("o", "t", "text", "shared").mapInArrow(_windows, "o long, t long, h1 long, h2 long, start int"), "windows")
+    def repeats(self, shared: DataFrame, newest: int | None) -> DataFrame:
+        """Verify: ``o, t, spans`` of windows, in documents from ``newest`` on, that start in an earlier one."""
+        rows, texts = self.runs[0], self.texts[0]
+        for run in self.runs[1:]:
+            rows = rows.unionByName(run)
+        for docs in self.texts[1:]:
+            texts = texts.unionByName(docs)
+        lists = rows.join(shared, "fp", "left_semi").groupBy(F.col("o").alias("_o"), F.col("t").alias("_t")).agg(F.collect_set("fp").alias("shared"))
+        lists = materialize(lists, "lists")
         release(self.spark)
-        firsts = windows.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.max("o").alias("last")).filter("first < last").drop("last")
-        newest = self.postings[-1].agg(F.min("o")).first()[0]
-        late = windows.join(firsts, ["h1", "h2"]).filter(F.col("o") > F.col("first"))
-        late = late.filter(F.col("o") >= F.lit(newest)) if newest is not None else late
-        found = materialize(late.groupBy("o", "t").agg(F.collect_set("start").alias("starts")), "repeats")
-        discard(self.spark, windows)
+        same = (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))
+        found = texts.join(lists, same).select("o", "t", "text", "shared").mapInArrow(_contexts, _CONTEXT)
+        found = materialize(found, "contexts")
         discard(self.spark, lists)
         release(self.spark)
-        return found
+
+        new = F.lit(True) if newest is None else F.col("o") > newest
+        kinds = materialize(found.groupBy("fp", "digest").agg(F.min("o").alias("first"), F.max("o").alias("last")), "kinds")
+        several = kinds.groupBy(F.col("fp").alias("_f")).agg(F.count("*").alias("kinds"), F.min("first").alias("a"), F.max("first").alias("b"))
+        several = several.filter("kinds > 1 AND a < b").select("_f")
+        k = kinds.filter("first < last").select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), "first")
+        whole = found.withColumn("n", F.size("windows")).drop("windows", "place").filter(new)
+        whole = whole.join(k, (F.col("fp") == F.col("_f")) & (F.col("digest") == F.col("_d"))).filter(F.col("o") > F.col("first"))
+        spans = materialize(whole.select("o", "t", "start", "n"), "spans")
+        # Of each kind, its earliest document asks, and is evidence for the others.
+        k = kinds.join(several, F.col("fp") == F.col("_f"), "left_semi").select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), F.col("first"))
+        asks = found.join(k, (F.col("fp") == F.col("_f")) & (F.col("digest") == F.col("_d")) & (F.col("o") == F.col("first")))
+        each = asks.select("fp", "o", "t", "start", "place", F.posexplode("windows").alias("i", "h"))
+        each = each.select("fp", (F.col("place") + F.col("i")).alias("place"), "h", "o", "t", (F.col("start") + F.col("i")).alias("start"))
+        each = materialize(each, "windows")
+        firsts = each.groupBy("fp", "place", "h").agg(F.min("o").alias("first"), F.max("o").alias("last")).filter("first < last").drop("last")
+        single = each.filter(new).join(firsts, ["fp", "place", "h"]).filter(F.col("o") > F.col("first")).select("o", "t", "start", F.lit(1).alias("n"))
+        out = spans.unionByName(single).groupBy("o", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+        out = materialize(out, "repeats")
+        for done in (found, kinds, spans, each):
+            discard(self.spark, done)
+        release(self.spark)
+        return out
 
 
 def _trim(batches, names):
-    """Cut the windows at ``starts`` out of each text."""
+    """Cut the words of the windows in ``spans`` (first window, number of windows) out of each text."""
     for batch in batches:
-        texts, starts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        texts, spans = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         kept_texts, totals, removed = [], [], []
-        for text, cut in zip(texts, starts, strict=True):
+        for text, cut in zip(texts, spans, strict=True):
             words = (text.as_py() or "").encode().split()
             total = len(words)
             if cut.is_valid and len(cut):
                 gone = np.zeros(total + 1, np.int32)
-                at = cut.values.to_numpy()
+                at, n = (cut.values.field(i).to_numpy() for i in (0, 1))
                 np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW, -1)
+                np.add.at(gone, at + n - 1 + WINDOW, -1)
                 words = list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
             kept_texts.append(b" ".join(words).decode())
             totals.append(total)
@@ -176,9 +199,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", bat
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    keyed = docs.select(*_keys(F.col(key), F.col(text)), F.col(text).cast("string").alias("text"))
+    keys = _keys(docs, key, text)
+    keyed = docs.select(*keys, F.col(text).cast("string").alias("text"))
     cuts = [k / batches for k in range(1, batches)]
-    marks = docs.select(F.percentile_approx(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), cuts)).first()[0] if cuts else []
+    marks = keyed.select(F.percentile_approx("o", F.array(*map(F.lit, cuts)))).first()[0] if cuts else []
     marks = sorted(set(marks or []))
     index = FingerprintIndex(spark)
     found = None
@@ -186,14 +210,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", bat
         batch = keyed
         batch = batch if low is None else batch.filter(F.col("o") > low)
         batch = batch if high is None else batch.filter(F.col("o") <= high)
-        repeats = index.repeats(index.add(batch))
+        repeats = index.repeats(index.add(batch), low)
         found = repeats if found is None else found.unionByName(repeats)
+    for run in index.runs:
+        discard(spark, run)
     ins = [F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*_keys(F.col(key), F.col(text)), *ins, F.col(text).cast("string").alias("text"))
+    rows = docs.select(*keys, *ins, F.col(text).cast("string").alias("text"))
     rows = rows.join(found.withColumnsRenamed({"o": "_o", "t": "_t"}), (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t")), "left")
     out = free_name(docs.select(*keep), "kept_text", "n_words", "n_removed")
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.LongType())])
-    return rows.select(*[f"in_{i}" for i in range(len(keep))], "text", "starts").mapInArrow(lambda it: _trim(it, schema.names), schema)
+    return rows.select(*[f"in_{i}" for i in range(len(keep))], "text", "spans").mapInArrow(lambda it: _trim(it, schema.names), schema)
 
 
 def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
