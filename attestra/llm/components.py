@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
+#: Up to this many links (16 bytes each) are joined up within one task; more, in rounds of joins.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _joined(batches):
+    """Links of one partition to ``node, label``: least labels spread along links, paths halved."""
+    a, b = [], []
+    for batch in batches:
+        a.append(batch.column(0).to_numpy(zero_copy_only=False))
+        b.append(batch.column(1).to_numpy(zero_copy_only=False))
+    if not a:
+        return
+    a, b = np.concatenate(a), np.concatenate(b)
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    for i in range(0, len(nodes), 65_536):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 65_536]), pa.array(nodes[label[i : i + 65_536]])], names=["node", "label"])
+
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of ``links`` (columns ``a, b``); the label is the least node.
 
     Alternates hooking (the least label among neighbours) with pointer jumping, so long chains
     halve each round.  Links are contracted to links between labels and vanish once inside one.
+    A counted, small table of links is joined up within one task instead.
     """
+    if links.count() <= ONE_TASK_LINKS:
+        return materialize(links.select("a", "b").coalesce(1).mapInArrow(_joined, "node long, label long"), "labels")
     both = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     labels = materialize(both.select("node", F.col("node").alias("label")), "labels")
     edges = materialize(links.select("a", "b").filter("a != b").distinct(), "edges")
@@ -39,10 +74,10 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def merge_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``labels`` after more ``links (a, b)``; nodes without a label are their own."""
-    if labels is None:
-        return components(links)
+def merge_labels(labels: DataFrame | None, links: DataFrame, every: DataFrame) -> DataFrame:
+    """``labels`` after more ``links (a, b)``; nodes without a label are their own.  ``every`` holds all links so far."""
+    if labels is None or every.count() <= ONE_TASK_LINKS:
+        return components(every)
     old = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
     ends = links.join(old, F.col("a") == F.col("_n"), "left").select(F.coalesce("_l", "a").alias("a"), "b")
     ends = ends.join(old, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_l", "b").alias("b"))

@@ -10,7 +10,8 @@ Cost-based allocation: a signature of more than ``COMMON`` classes is dear, so i
 set that still has more unskipped segments than it may have differences is safe: its partners are
 found.  Only pairs of two unsafe sets can be missed; unsafe sets take a second, coarser partition
 in which each segment also indexes its one-deletion neighbourhood (segments that differ by one
-shingle agree), and, should even that not do, single shingles.
+shingle agree).  For sets that are unsafe there as well every shingle is a segment, and the
+pigeonhole is allocated to the cheapest: a quarter of the set, the rarest shingles first.
 
 Equal sets are one class from the start.  Within a group of classes with one signature, pairs are
 verified leader by leader and only between classes that are not connected yet, so groups of near
@@ -34,7 +35,7 @@ NUM, DEN = 75, 100
 #: A signature of more classes than this is skipped where sets can afford it.
 COMMON = 24
 #: Leaders per group and round.
-LEADERS = (1, 8, 64, 512)
+LEADERS = (1, 32, 256, 2048)
 #: Rows a reducer holds before it lets go of signatures already known to be common.
 HELD_ROWS = 4_000_000
 _LAST = (1 << 63) - 1
@@ -102,21 +103,31 @@ def _sums(items: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signatures(items: np.ndarray, offsets: np.ndarray, level: int, which: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``set, signature`` pairs of the sets ``which`` in universes ``band``, and each one's non-empty segments.
-
-    Level 2 is the finest partition: every shingle is a signature.
-    """
+def _placed(items: np.ndarray, offsets: np.ndarray, level: int, which: np.ndarray, band: np.ndarray):
+    """Per set its segments; per shingle of those sets its set, its segment (counted through) and a hash."""
     size = (offsets[1:] - offsets[:-1])[which]
     of = np.repeat(np.arange(len(which)), size)
     pick = np.repeat(offsets[which] - np.cumsum(size) + size, size) + np.arange(size.sum())
     x = mix(items[pick] + np.uint64(0x5851F42D4C957F2D * (level + 1) & (1 << 64) - 1))
-    tag = mix(np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15) + band.astype(np.uint64))
-    if level == 2:
-        return which[of], mix(x ^ tag[of]), size
     m = segments(band, level)
+    return m, of, (np.cumsum(m) - m)[of] + ((x >> np.uint64(32)).astype(np.int64) * m[of] >> 32), x
+
+
+def filled_segments(items: np.ndarray, offsets: np.ndarray, which: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Non-empty level-0 segments of the sets ``which`` in universes ``band``."""
+    m, of, key, _ = _placed(items, offsets, 0, which, band)
+    held = np.bincount(key, minlength=int(m.sum())) > 0
+    return np.bincount(np.repeat(np.arange(len(which)), m)[held], minlength=len(which))
+
+
+def signatures(items: np.ndarray, offsets: np.ndarray, level: int, which: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``set, signature`` pairs of the sets ``which`` in universes ``band``, and each one's filled segments.
+
+    Level 1 also returns each signature's segment; it counts segments of two shingles or more.
+    """
+    m, of, key, x = _placed(items, offsets, level, which, band)
+    tag = mix((band + ((level + 1) << 32)).astype(np.uint64))
     base = np.cumsum(m) - m
-    key = base[of] + ((x >> np.uint64(32)).astype(np.int64) * m[of] >> 32)
     total = int(m.sum())
     held = np.bincount(key, minlength=total)
     part = _sums(mix(x), key, total)
@@ -131,21 +142,11 @@ def signatures(items: np.ndarray, offsets: np.ndarray, level: int, which: np.nda
     many = held[key] > 1
     out_set = np.r_[out_set, of[many]]
     out = np.r_[out, mix((part[key] - mix(x))[many] ^ place[key][many])]
-    return which[out_set], out, np.bincount(owner[held > 1], minlength=len(which))
-
-
-# --------------------------------------------------------------------------- first pass
+    seg = np.r_[some, key[many]] - base[out_set]
+    return which[out_set], out, np.bincount(owner[held > 1], minlength=len(which)), seg
 
 
-def _class_rows(batches):
-    names = ["o", "t", "n", "c", "check"]
-    for batch in batches:
-        for first, data, offsets in text_blocks(batch.column(2), 1 << 19):
-            items, at = shingle_sets(data, offsets)
-            size = np.diff(at)
-            c, check = class_hashes(items, size)
-            take = pa.array(np.arange(first, first + len(size)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(size), pa.array(signed(c)), pa.array(signed(check))], names=names)
+# --------------------------------------------------------------------------- first passes
 
 
 def class_hashes(items: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,86 +156,166 @@ def class_hashes(items: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     return c, mix(_sums(mix(items ^ np.uint64(0xA0761D6478BD642F)), rows, len(size)))
 
 
-def _too_few(segments_left: np.ndarray, size: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """Whether a differing partner may agree in none of so many segments."""
-    most = differences(size, band)
-    return (most > 0) & (segments_left <= most)
+def bitmaps(items: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Per set the parity of its shingles in each of ``2 ** k >= size`` slots (64 at least), packed.
 
+    Two sets differ in at least as many shingles as their bitmaps, folded to one size, have bits.
+    """
+    size = np.diff(offsets)
+    width = np.maximum(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 64)
+    base = np.cumsum(width) - width
+    rows = np.repeat(np.arange(len(size)), size)
+    slot = base[rows] + (mix(items ^ np.uint64(0x8EBC6AF09C88C6E3)) & (width[rows] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(slot, minlength=int(width.sum())) & 1).astype(np.uint8)).tobytes()
+    at = (base // 8).tolist()
+    return [packed[a : a + w] for a, w in zip(at, (width // 8).tolist(), strict=True)]
 
-def _signature_rows(batches):
-    """Level-0 signatures ``sig, c`` of texts, with the universe (own band or next) as ``u``.
 
-    A set whose non-empty segments are too few for the pigeonhole adds a row with ``u + 2``.
-    """
+#: Longs of a class's fixed sketch: the parity of its shingles in 64 slots each.
+SKETCH = 8
+_SKETCH = [f"b{i}" for i in range(SKETCH)]
+_MEMBERS = "o long, t long, n long, c long, check long, bits binary, f0 long, d0 long, f1 long, d1 long, " + ", ".join(f"{b} long" for b in _SKETCH)
+
+
+def sketches(items: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Columns of a fixed bitmap, for joins that drop pairs which differ in too many bits."""
+    n = len(offsets) - 1
+    rows = np.repeat(np.arange(n), np.diff(offsets))
+    slot = (mix(items ^ np.uint64(0x589965CC75374CC3)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = (np.bincount(rows * (64 * SKETCH) + slot, minlength=n * 64 * SKETCH) & 1).astype(np.uint8)
+    packed = np.packbits(odd.reshape(n * SKETCH, 64), axis=1).view(np.int64).reshape(n, SKETCH)
+    return [np.ascontiguousarray(packed[:, i]) for i in range(SKETCH)]
+
+
+def _member_rows(batches):
+    """A row per text: its set's size, class and bitmap; and per universe the non-empty segments and most differences."""
+    names = ["o", "t", "n", "c", "check", "bits", "f0", "d0", "f1", "d1", *_SKETCH]
     for batch in batches:
-        for _, data, offsets in text_blocks(batch.column(0), 1 << 19):
+        for first, data, offsets in text_blocks(batch.column(2), 1 << 19):
             items, at = shingle_sets(data, offsets)
             size = np.diff(at)
-            c, _ = class_hashes(items, size)
+            c, check = class_hashes(items, size)
+            left = [np.zeros(len(size), np.int64) for _ in range(4)]
             real = np.flatnonzero(size)
             for u, (which, band) in enumerate(universes(size[real])):
-                which = real[which]
-                if len(which):
-                    owner, sig, filled = signatures(items, at, 0, which, band)
-                    short = which[_too_few(filled, size[which], band)]
-                    owner, kind = np.r_[owner, short], np.r_[np.full(len(sig), u, np.int8), np.full(len(short), u + 2, np.int8)]
-                    sig = np.r_[sig, c[short]]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(signed(c[owner])), pa.array(kind)], names=["sig", "c", "u"])
+                left[2 * u][real[which]] = filled_segments(items, at, real[which], band)
+                left[2 * u + 1][real[which]] = differences(size[real[which]], band)
+            take = pa.array(np.arange(first, first + len(size)))
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(size), pa.array(signed(c)), pa.array(signed(check)), pa.array(bitmaps(items, at), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, [*left, *sketches(items, at)])], names=names)
+
+
+#: A parcel is what one block of texts sends to one partition: signatures, and runs of their classes.
+_PARCEL = "part int, sigs binary, classes binary, lengths binary"
+
+
+def _parcels(parts: int):
+    """Level-0 signatures of texts, packed by the partition they go to."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch.column(0), 1 << 19):
+                items, at = shingle_sets(data, offsets)
+                size = np.diff(at)
+                c, _ = class_hashes(items, size)
+                real = np.flatnonzero(size)
+                found = []
+                for u, (which, band) in enumerate(universes(size[real])):
+                    owner, sig, _ = signatures(items, at, 0, real[which], band)
+                    found.append((sig, owner, np.full(len(sig), u, np.int64)))
+                sig, owner, u = (np.concatenate(x) for x in zip(*found, strict=True))
+                part = (mix(sig) % np.uint64(parts)).astype(np.int64)
+                run_id = owner * 2 + u
+                order = np.lexsort((run_id, part))
+                sig, run_id, part = sig[order], run_id[order], part[order]
+                cut = np.searchsorted(part, np.arange(parts + 1))
+                full = np.flatnonzero(np.diff(cut))
+                out = [[], [], [], []]
+                for p in full.tolist():
+                    a, b = cut[p], cut[p + 1]
+                    heads = np.flatnonzero(np.r_[True, run_id[a + 1 : b] != run_id[a : b - 1]])
+                    ids = run_id[a:b][heads]
+                    out[0].append(p)
+                    out[1].append(sig[a:b].tobytes())
+                    out[2].append(c[ids >> 1].tobytes())
+                    out[3].append((np.diff(np.r_[heads, b - a]) * 2 + (ids & 1)).astype(np.uint32).tobytes())
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["part", "sigs", "classes", "lengths"])
+
+    return run
+
+
+_GROUPS = "members array<long>, c long, s0 long, s1 long"
+
+
+def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order of signature and class, and the size of each row's signature."""
+    rows = rows[np.lexsort((rows["c"], rows["s"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["s"][1:] != rows["s"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
+    rows = rows[new]
+    heads = np.flatnonzero(np.r_[True, rows["s"][1:] != rows["s"][:-1]]) if len(rows) else np.empty(0, np.int64)
+    size = np.diff(np.r_[heads, len(rows)])
+    return rows, np.repeat(size, size)
 
 
-def _grouped(batches, most: int | None):
-    """Rows ``sig, c, u`` of one partition to those of shared signatures, ``common`` if above ``most``.
+def _groups(batches):
+    """Parcels of one partition to groups: ``members`` (classes that share a signature), or skip counts.
 
-    Holds the partition's rows as three arrays.  When they pass ``HELD_ROWS``, signatures already
-    above ``most`` are let go as common, so a hot signature never gathers here.
+    Signatures of more than ``COMMON`` classes only count, per class, as skipped (``c, s0, s1`` by
+    universe).  Holds the partition's rows in one array; past ``HELD_ROWS``, signatures already
+    common are counted and let go, so a hot signature never gathers here.
     """
-    names = ["sig", "c", "u", "common"]
+    names = ["members", "c", "s0", "s1"]
+    kind = np.dtype([("s", np.int64), ("c", np.int64), ("u", np.int8)])
     held: list[np.ndarray] = []
     count = 0
     hot = np.empty(0, np.int64)
+    skipped: list[np.ndarray] = []
 
-    def frame(rows: np.ndarray, common: bool):
-        return pa.RecordBatch.from_arrays([pa.array(rows["s"]), pa.array(rows["c"]), pa.array(rows["u"]), pa.array(np.full(len(rows), common))], names=names)
-
-    def settle(rows: np.ndarray):
-        order = np.lexsort((rows["c"], rows["s"]))
-        rows = rows[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["s"][1:] != rows["s"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
-        rows = rows[new]
-        head = np.ones(len(rows), bool)
-        head[1:] = rows["s"][1:] != rows["s"][:-1]
-        starts = np.flatnonzero(head)
-        size = np.diff(np.r_[starts, len(rows)])
-        return rows, np.repeat(size, size)
+    def skips(parts: list[np.ndarray]):
+        rows = np.concatenate(parts) if parts else np.empty(0, kind)
+        c, at = np.unique(rows["c"], return_inverse=True)
+        counts = [pa.array(np.bincount(at, weights=rows["u"] == u, minlength=len(c)).astype(np.int64)) for u in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.list_(pa.int64())), pa.array(c), *counts], names=names)
 
-    kind = np.dtype([("s", np.int64), ("c", np.int64), ("u", np.int8)])
     for batch in batches:
-        rows = np.empty(len(batch), kind)
-        for name, column in zip("scu", batch.columns, strict=True):
-            rows[name] = column.to_numpy(zero_copy_only=False)
-        marks = rows["u"] > 1
-        if marks.any():
-            yield frame(rows[marks], True)
-            rows = rows[~marks]
-        if len(hot):
-            known = np.isin(rows["s"], hot)
-            if known.any():
-                yield frame(rows[known], True)
-                rows = rows[~known]
-        held.append(rows)
-        count += len(rows)
-        if most is not None and count > HELD_ROWS:
-            rows, size = settle(np.concatenate(held))
-            big = size > most
-            hot = np.union1d(hot, rows["s"][big])
-            yield frame(rows[big], True)
-            held, count = [rows[~big]], 0
+        for sigs, classes, lengths in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            rows = np.empty(len(sigs.as_buffer()) // 8, kind)
+            runs = np.frombuffer(lengths.as_buffer(), np.uint32)
+            rows["s"] = np.frombuffer(sigs.as_buffer(), np.int64)
+            rows["c"] = np.repeat(np.frombuffer(classes.as_buffer(), np.int64), runs >> 1)
+            rows["u"] = np.repeat((runs & 1).astype(np.int8), runs >> 1)
+            if len(hot):
+                known = np.isin(rows["s"], hot)
+                if known.any():
+                    skipped.append(rows[known])
+                    rows = rows[~known]
+            held.append(rows)
+            count += len(rows)
+            if count > HELD_ROWS:
+                rows, size = _settle(np.concatenate(held))
+                big = size > COMMON
+                hot = np.union1d(hot, rows["s"][big])
+                skipped.append(rows[big])
+                held, count = [rows[~big]], 0
+        if sum(map(len, skipped)) > 1 << 20:
+            yield skips(skipped)
+            skipped = []
     if held:
-        rows, size = settle(np.concatenate(held))
-        big = size > (most if most is not None else len(rows) + 1)
-        yield frame(rows[big], True)
-        yield frame(rows[(size > 1) & ~big], False)
+        rows, size = _settle(np.concatenate(held))
+        yield skips([*skipped, rows[size > COMMON]])
+        keep = (size > 1) & (size <= COMMON)
+        rows, size = rows[keep], size[keep]
+        heads = np.flatnonzero(np.r_[True, rows["s"][1:] != rows["s"][:-1]]) if len(rows) else np.empty(0, np.int64)
+        ends = np.r_[heads, len(rows)]
+        # Near copies share many signatures with the same members: one group of each kind is enough.
+        mark = np.add.reduceat(mix(rows["c"].view(np.uint64)), heads) if len(heads) else np.empty(0, np.uint64)
+        _, one = np.unique(mark, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rows["c"])).take(pa.array(one)) if len(heads) else pa.array([], pa.list_(pa.int64()))
+        for i in range(0, len(lists), 50_000):
+            some = lists[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([some, *[pa.nulls(len(some), pa.int64())] * 3], names=names)
 
 
 # --------------------------------------------------------------------------- verification
@@ -246,10 +327,30 @@ def _set_rows(batches):
             items, at = shingle_sets(data, offsets)
             raw = items.tobytes()
             take = pa.array(np.arange(first, first + len(at) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.diff(at)), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["c", "n", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["c", "items"])
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _plausible(batches):
+    """Pairs ``a, b, x, y, n, m`` whose bitmaps allow as few differences as similar sets have."""
+    for batch in batches:
+        x, y = batch.column(2), batch.column(3)
+        most = ((batch.column(4).to_numpy(zero_copy_only=False) + batch.column(5).to_numpy(zero_copy_only=False)) // 7).tolist()
+        keep = []
+        for i in range(len(batch)):
+            p, q = np.frombuffer(x[i].as_buffer(), np.uint8), np.frombuffer(y[i].as_buffer(), np.uint8)
+            size = min(len(p), len(q))
+            if int(np.bitwise_count(_fold(p, size) ^ _fold(q, size)).sum()) <= most[i]:
+                keep.append(i)
+        yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
-def _verify(batches):
+def _similar(batches):
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
         keep = []
@@ -264,144 +365,194 @@ def _verify(batches):
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose sets are similar enough."""
-    x = sets.select(F.col("c").alias("_a"), F.col("items").alias("x"))
-    y = sets.select(F.col("c").alias("_b"), F.col("items").alias("y"))
-    full = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
-    return full.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
-
-
-def _connect(groups: DataFrame, sets: DataFrame, labels: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verify all links within ``groups (g, c, n)`` between classes not connected yet.
+#: Wanted documents are broadcast up to this many (32 bytes each) to fetch their texts without a shuffle.
+BROADCAST_DOCS = 200_000
+
+
+class Sets:
+    """Shingle sets of classes, computed from one document's text of each when first wanted."""
+
+    def __init__(self, plain: DataFrame, classes: DataFrame):
+        self.plain, self.classes, self.known = plain, classes, None
+
+    def fetch(self, wanted: DataFrame) -> DataFrame:
+        """``c, items`` of the classes ``wanted (c)`` and of all wanted before."""
+        new = wanted.distinct()
+        if self.known is not None:
+            new = new.join(self.known.select("c"), "c", "left_anti")
+        at = self.classes.join(new, "c").select("c", F.col("d.o").alias("_o"), F.col("d.t").alias("_t"))
+        at = materialize(at, "wanted")
+        n = at.count()
+        if n:
+            at = F.broadcast(at) if n <= BROADCAST_DOCS else at
+            rows = self.plain.join(at, (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))).select("c", "text").mapInArrow(_set_rows, "c long, items binary")
+            rows = materialize(rows.dropDuplicates(["c"]), "sets")
+            self.known = rows if self.known is None else self.known.unionByName(rows)
+        return self.known
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs (a, b)`` whose sets are similar enough: by bitmaps first, then exactly."""
+        x = self.classes.select(F.col("c").alias("_a"), F.col("bits").alias("x"), F.col("n"))
+        y = self.classes.select(F.col("c").alias("_b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+        near = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "x", "y", "n", "m")
+        near = materialize(near.mapInArrow(_plausible, "a long, b long"), "plausible")
+        if near.isEmpty():
+            return near
+        sets = self.fetch(near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))))
+        x = sets.select(F.col("c").alias("_a"), F.col("items").alias("x"))
+        y = sets.select(F.col("c").alias("_b"), F.col("items").alias("y"))
+        full = near.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
+        return materialize(full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links")
+
+
+def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verify all links within ``groups (g, c)`` between classes not connected yet.
 
     Each round some classes of every group that spans two components lead: they are compared with
-    all others of other components, then leave the group.  Ends when no group spans two.
+    all others of other components, then leave the group.  The first round has one leader, a star;
+    later leaders come from outside the group's largest component only.  Pairs whose sizes or
+    sketches differ too much never leave the join.  Ends when no group spans two components.
     """
     spark = groups.sparkSession
-    done = None  # pairs verified so far
-    for turn in range(1 << 20):
+    facts = sets.classes.select(F.col("c").alias("_c"), "n", *_SKETCH)
+    bits = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in _SKETCH]
+    apart = bits[0]
+    for b in bits[1:]:
+        apart = apart + b
+    near = (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n")) & (7 * apart <= F.col("n") + F.col("_n"))
+    done = None  # pairs compared so far
+    turn = 0
+    while True:
         lead = LEADERS[min(turn, len(LEADERS) - 1)]
+        turn += 1
         if labels is None:
-            tagged = groups.withColumn("k", F.col("c"))
+            tagged = groups.select("g", "c", F.col("c").alias("k"))
         else:
-            tagged = groups.join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("c") == F.col("_n"), "left").select(*groups.columns, F.coalesce("_l", "c").alias("k"))
-        tagged = materialize(tagged, "tagged")
-        spans = tagged.groupBy("g").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select(F.col("g").alias("_g"), "low")
-        active = materialize(tagged.join(spans, F.col("g") == F.col("_g")).drop("_g"), "active")
-        discard(spark, tagged)
+            tagged = groups.join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("c") == F.col("_n"), "left").select("g", "c", F.coalesce("_l", "c").alias("k"))
+            tagged = materialize(tagged, "tagged")
+        spans = tagged.groupBy("g", "k").agg(F.count("*").alias("m")).groupBy(F.col("g").alias("_g")).agg(F.max(F.struct("m", "k"))["k"].alias("base"), F.count("*").alias("spans"))
+        active = materialize(tagged.join(spans.filter("spans > 1"), F.col("g") == F.col("_g")).select("g", "c", "k", "base"), "active")
+        discard(spark, groups)
+        if labels is not None:
+            discard(spark, tagged)
+        release(spark)
         if active.isEmpty():
             return labels, links
-        order = Window.partitionBy("g").orderBy((F.col("k") == F.col("low")).cast("int"), "c")
-        leaders = active.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= lead)
-        leaders = materialize(leaders.select("g", "c", "n", "k"), "leaders")
-        left = leaders.select(F.col("g").alias("_g"), F.col("c").alias("_c"), F.col("n").alias("_n"), F.col("k").alias("_k"))
-        met = active.join(left, F.col("g") == F.col("_g")).filter((F.col("k") != F.col("_k")) & (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n")))
+        may = active if turn == 1 else active.filter("k != base")
+        leaders = may.withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy("c"))).filter(F.col("_r") <= lead)
+        leaders = materialize(leaders.select("g", "c", "k"), "leaders")
+        left = leaders.join(facts, F.col("c") == F.col("_c")).select(F.col("g").alias("_g"), F.col("c").alias("_c"), F.col("k").alias("_k"), F.col("n").alias("_n"), *[F.col(b).alias(f"_{b}") for b in _SKETCH])
+        right = active.select("g", "c", "k").join(facts, F.col("c") == F.col("_c")).drop("_c")
+        met = right.join(left, (F.col("g") == F.col("_g")) & (F.col("k") != F.col("_k")) & near)
         pairs = met.select(F.least("c", "_c").alias("a"), F.greatest("c", "_c").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = materialize(verify(pairs, sets), "links")
+        found = sets.verify(pairs)
         done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = merge_labels(labels, found)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = merge_labels(labels, found, links)
         used = leaders.select(F.col("g").alias("_g"), F.col("c").alias("_c"))
-        groups = materialize(active.join(used, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")), "left_anti").select("g", "c", "n"), "groups")
+        groups = materialize(active.join(used, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")), "left_anti").select("g", "c"), "groups")
         discard(spark, active)
         release(spark)
-    return labels, links
 
 
 # --------------------------------------------------------------------------- the join
 
 
-def _level_batches(level: int):
-    """Signatures of sets ``c, n, items, u`` at a later level, with ``ok``: does the pigeonhole hold?"""
+def _deletion_rows(batches):
+    """Level-1 signatures ``sig, c, u, seg`` of sets ``c, items, u``, with how many segments they can spare."""
+    for batch in batches:
+        c = batch.column(0).to_numpy(zero_copy_only=False)
+        u = batch.column(2).to_numpy(zero_copy_only=False)
+        size = np.array([len(v.as_buffer()) // 8 for v in batch.column(1)], np.int64)
+        items = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(1)]) if len(batch) else np.empty(0, np.uint64)
+        at = np.r_[0, np.cumsum(size)]
+        band = np.searchsorted(EDGES, size, side="right") - 1 + u
+        owner, sig, filled, seg = signatures(items, at, 1, np.arange(len(size)), band)
+        spare = filled - differences(size, band) // 2
+        yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(c[owner]), pa.array(u[owner].astype(np.int8)), pa.array(seg.astype(np.int32)), pa.array(spare[owner])], names=["sig", "c", "u", "seg", "spare"])
+
+
+def _shingle_rows(batches):
+    for batch in batches:
+        size = np.array([len(v.as_buffer()) // 8 for v in batch.column(1)], np.int64)
+        items = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]) if len(batch) else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        for i in range(0, len(items), 1 << 16):
+            take = pa.array(owner[i : i + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(items[i : i + (1 << 16)]), batch.column(0).take(take), pa.array(size[owner[i : i + (1 << 16)]])], names=["g", "c", "n"])
 
-    def run(batches):
-        for batch in batches:
-            c = batch.column(0).to_numpy(zero_copy_only=False)
-            u = batch.column(2).to_numpy(zero_copy_only=False)
-            size = np.array([len(v.as_buffer()) // 8 for v in batch.column(1)], np.int64)
-            items = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(1)]) if len(batch) else np.empty(0, np.uint64)
-            at = np.r_[0, np.cumsum(size)]
-            which = np.arange(len(size))
-            band = np.searchsorted(EDGES, size, side="right") - 1 + u
-            owner, sig, filled = signatures(items, at, level, which, band)
-            ok = filled > differences(size, band) // 2 if level == 1 else np.ones(len(size), bool)
-            ok |= differences(size, band) == 0
-            yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(c[owner]), pa.array(u[owner].astype(np.int8)), pa.array(ok[owner])], names=["sig", "c", "u", "ok"])
 
-    return run
+def _by_deletion(unsafe: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame]:
+    """Groups ``g, c`` of the second partition, and the sets it does not make safe either.
 
+    A segment of which any signature is common counts as skipped.
+    """
+    items = sets.fetch(unsafe.select("c")).join(unsafe.withColumnRenamed("c", "_c"), F.col("c") == F.col("_c")).select("c", "items", "u")
+    rows = materialize(items.mapInArrow(_deletion_rows, "sig long, c long, u byte, seg int, spare long"), "deletions")
+    per = materialize(rows.groupBy("sig").agg(F.approx_count_distinct("c", 0.01).alias("m"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select(F.col("sig").alias("_s"), (F.col("m") > COMMON).alias("common")), "common")
+    met = rows.join(per, F.col("sig") == F.col("_s"))
+    groups = met.filter("NOT common").select(F.col("sig").alias("g"), "c").distinct()
+    gone = met.filter("common").groupBy(F.col("c").alias("_c"), F.col("u").alias("_u")).agg(F.countDistinct("seg").alias("gone"))
+    spare = rows.groupBy("c", "u").agg(F.first("spare").alias("spare"))
+    left = spare.join(gone, (F.col("c") == F.col("_c")) & (F.col("u") == F.col("_u")), "left")
+    return groups, left.filter(F.col("spare") <= F.coalesce("gone", F.lit(0))).select("c").distinct()
+
+
+def _by_rarest(unsafe: DataFrame, sets: Sets) -> DataFrame:
+    """Groups ``g, c`` of sets that share a shingle among the rarest quarter of each.
+
+    Partners share ``ceil(0.75 n)`` shingles at least, so in one order of all shingles the first
+    ``n - ceil(0.75 n) + 1`` of both have one in common; rare shingles stand first.
+    """
+    items = sets.fetch(unsafe).join(unsafe, "c", "left_semi").select("c", "items")
+    rows = materialize(items.mapInArrow(_shingle_rows, "g long, c long, n long"), "shingles")
+    counts = rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("df"))
+    order = Window.partitionBy("c").orderBy("df", "g")
+    ranked = rows.join(counts, F.col("g") == F.col("_g")).withColumn("_r", F.row_number().over(order))
+    return ranked.filter((F.col("_r") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1) & (F.col("df") > 1)).select("g", "c")
 
-def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """``(members, classes, links)``.
 
-    ``members``: ``o, t, n, c`` per document row (class ``c`` of its set, ``n`` shingles);
-    ``classes``: ``c, label`` of linked classes; ``links``: verified ``a, b`` between classes.
+def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``(members, labels, links)``.
+
+    ``members``: per document row ``o, t`` (its key, null last, and a hash of its text), ``n``
+    shingles and class ``c``; ``labels``: ``node, label`` of linked classes; ``links``: verified
+    ``a, b`` between classes, enough of them to connect all that are linked.
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(text).alias("t"), F.col(text).cast("string").alias("text"))
-    members = materialize(plain.mapInArrow(_class_rows, "o long, t long, n long, c long, check long"), "members")
-    total = members.agg(F.sum("n").alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.7 // 1_500_000) + 1)
-    raw = plain.filter(F.length("text") > 0).select("text").mapInArrow(_signature_rows, "sig long, c long, u byte")
-    shared = materialize(raw.repartition(parts, "sig").mapInArrow(lambda it: _grouped(it, COMMON), "sig long, c long, u byte, common boolean"), "shared")
-    release(spark)
-
-    # One document of every class that shares a signature gives its set.
-    classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("o", "t")).alias("d"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    wanted = shared.select("c").distinct()
-    reps = materialize(classes.join(wanted, "c"), "reps")
-    if not reps.filter("lo != hi").isEmpty():
+    members = materialize(plain.mapInArrow(_member_rows, _MEMBERS), "members")
+    first = [F.first(x).alias(x) for x in ("n", "bits", "f0", "d0", "f1", "d1", *_SKETCH)]
+    classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("o", "t")).alias("d"), F.min("check").alias("low"), F.max("check").alias("high"), *first)
+    classes = materialize(classes, "classes")
+    if not classes.filter("low < high").isEmpty():
         raise ValueError("two different sets have one 64-bit class hash; change the hash constants")
-    at = reps.select("c", F.col("d.o").alias("_o"), F.col("d.t").alias("_t"))
-    sets = plain.join(at, (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t")))
-    sets = sets.select("c", "text").mapInArrow(_set_rows, "c long, n long, items binary")
-    sets = materialize(sets.dropDuplicates(["c"]), "sets")
+    total = classes.agg(F.sum(F.col("f0") + F.col("f1")).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000 + 1)
+    parcels = plain.filter(F.length("text") > 0).select("text").mapInArrow(_parcels(parts), _PARCEL)
+    grouped = materialize(parcels.repartitionById(parts, F.col("part")).mapInArrow(_groups, _GROUPS), "grouped")
     release(spark)
-    sizes = sets.select(F.col("c").alias("_c"), "n")
-
-    small = shared.filter(~F.col("common")).select(F.col("sig").alias("g"), "c").distinct()
-    groups = materialize(small.join(sizes, F.col("c") == F.col("_c")).select("g", "c", "n"), "groups")
-    labels, links = _connect(groups, sets, None, None)
-
-    # Allocation: who has too few unskipped segments left?  Only sets with common signatures, or
-    # with unlucky empty segments, can; the others are safe.
-    skipped = shared.filter("common AND u < 2").groupBy("c", "u").agg(F.countDistinct("sig").alias("skipped"))
-    unsafe = materialize(_unsafe(sets, skipped), "unsafe")
-    level = 1
-    while level <= 2 and not unsafe.isEmpty():
-        rows = unsafe.mapInArrow(_level_batches(level), "sig long, c long, u byte, ok boolean")
-        rows = materialize(rows, "level")
-        grouped = rows.select("sig", "c").distinct().join(sizes, F.col("c") == F.col("_c")).select(F.col("sig").alias("g"), "c", "n")
-        labels, links = _connect(materialize(grouped, "groups"), sets, labels, links)
-        bad = rows.filter("not ok").select(F.col("c").alias("_c"), F.col("u").alias("_u")).distinct()
-        unsafe = materialize(unsafe.join(bad, (F.col("c") == F.col("_c")) & (F.col("u") == F.col("_u")), "left_semi"), "unsafe")
-        level += 1
-    return members, labels, links
-
 
-def _unsafe(sets: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Sets ``c, items, u`` whose unskipped level-0 segments do not outnumber their possible differences."""
-
-    def run(batches):
-        for batch in batches:
-            size = np.array([len(v.as_buffer()) // 8 for v in batch.column(1)], np.int64)
-            items = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(1)]) if len(batch) else np.empty(0, np.uint64)
-            at = np.r_[0, np.cumsum(size)]
-            gone = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
-            for u, (which, band) in enumerate(universes(size)):
-                if len(which):
-                    _, _, filled = signatures(items, at, 0, which, band)
-                    bad = which[_too_few(filled - gone[u][which], size[which], band)]
-                    take = pa.array(bad)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(bad), u, np.int8))], names=["c", "items", "u"])
-
-    per = skipped.groupBy(F.col("c").alias("_c")).agg(*[F.sum(F.when(F.col("u") == u, F.col("skipped")).otherwise(0)).alias(f"s{u}") for u in (0, 1)])
-    joined = sets.join(per, F.col("c") == F.col("_c"), "left").select("c", "items", F.coalesce("s0", F.lit(0)).alias("s0"), F.coalesce("s1", F.lit(0)).alias("s1"))
-    return joined.mapInArrow(run, "c long, items binary, u byte")
+    sets = Sets(plain, classes)
+    once = grouped.filter("members IS NOT NULL").select("members").distinct()
+    labels, links = _connect(materialize(once.select(F.xxhash64("members").alias("g"), F.explode("members").alias("c")).distinct(), "groups"), sets, None, None)
+
+    # Allocation: which sets have too few unskipped segments left?  The others are safe.
+    skipped = grouped.filter("c IS NOT NULL").groupBy(F.col("c").alias("_c")).agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+    left = classes.join(skipped, F.col("c") == F.col("_c"), "left")
+    few = [left.filter(f"d{u} > 0 AND f{u} - coalesce(s{u}, 0) <= d{u}").select("c", F.lit(u).cast("byte").alias("u")) for u in (0, 1)]
+    unsafe = materialize(few[0].unionByName(few[1]), "unsafe")
+    if not unsafe.isEmpty():
+        groups, unsafe = _by_deletion(unsafe, sets)
+        unsafe = materialize(unsafe, "unsafe")
+        labels, links = _connect(materialize(groups, "groups"), sets, labels, links)
+        if not unsafe.isEmpty():
+            labels, links = _connect(materialize(_by_rarest(unsafe, sets), "groups"), sets, labels, links)
+    return members, labels, links
 
 
 def group_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -434,3 +585,27 @@ def group_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_i
 
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of linked rows, that of the smallest key; columns as they were.
+
+    Rows without words are linked with nothing and all stay.
+    """
+    members, labels, _ = similar_classes(docs, text, key)
+    first = F.min(F.struct("o", "t")).alias("d")
+    classes = members.filter("n > 0").groupBy("c").agg(first, F.count("*").alias("rows"))
+    if labels is not None:
+        classes = classes.join(labels.select(F.col("node").alias("_n"), "label"), F.col("c") == F.col("_n"), "left").select("d", F.coalesce("label", "c").alias("label"))
+    else:
+        classes = classes.select("d", F.col("c").alias("label"))
+    kept = classes.groupBy("label").agg(F.min("d").alias("d")).select(F.col("d.o").alias("_o"), F.col("d.t").alias("_t"), F.lit(1).alias("_n"))
+    none = members.filter("n = 0").select(F.col("o").alias("_o"), F.col("t").alias("_t"), F.lit(0).alias("_n")).distinct()
+    kept = materialize(kept.unionByName(none), "kept")
+    o, t, word = free_name(docs, "o", "t", "word")
+    rows = docs.withColumns({o: F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), t: F.xxhash64(text)})
+    rows = rows.join(kept, (F.col(o) == F.col("_o")) & (F.col(t) == F.col("_t")))
+    same = members.join(kept.filter("_n = 1"), (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))).groupBy("o", "t").count().filter("count > 1")
+    if not same.isEmpty():  # equal rows of one key: the join kept each of them
+        rows = rows.filter("_n = 0").unionByName(rows.filter("_n = 1").dropDuplicates([o, t]))
+    return rows.select(*docs.columns)
