@@ -17,7 +17,7 @@ _WHERE = {
     "op9_toxicity": "toxicity",
     "op10_benchmark_leaks": "decontamination",
 }
-_SQL = {"op1_warc_revisits": "warc"}
+_SQL = {"op1_warc_revisits": "warc", "op7_fingerprint_index": "substrings"}
 
 
 def queries() -> dict:

@@ -225,3 +225,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", bat
 def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     trimmed = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return trimmed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS first_doc FROM win GROUP BY g),
+bad AS (SELECT doc_id, i FROM win JOIN f USING (g) WHERE doc_id > first_doc),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM bad, (SELECT unnest(range(13)) AS o)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
