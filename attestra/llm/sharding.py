@@ -49,9 +49,9 @@ def external_shuffle(docs: DataFrame, text: str = "text", key: str = "doc_id", s
     total = docs.agg(F.coalesce(F.sum(text_size(F.col(text))), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     buckets = max(1, -(-total["b"] // bucket_bytes))
     base = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets))
-    # A bucket far above the mean holds a hot key; there are at most buckets / 3 of them.
+    # A bucket far above the mean holds a hot key; fewer than half of the buckets can.
     mean = max(1, total["n"] / buckets)
-    hot = docs.groupBy(base.alias("b")).count().filter(F.col("count") > 3 * mean + 1000)
+    hot = docs.groupBy(base.alias("b")).count().filter(F.col("count") > 2 * mean + 100)
     hot = [r["b"] for r in hot.select("b").collect()] if buckets > 1 else []
     if hot:
         anywhere = F.pmod(F.xxhash64(F.lit(seed + 1), F.monotonically_increasing_id()), F.lit(buckets))
