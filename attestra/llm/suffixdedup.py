@@ -196,28 +196,27 @@ def _sorted_chunks(batches):
         yield solve(rows)
 
 
-def _halves(rows: DataFrame, lo: int, hi: int) -> list[tuple[DataFrame, int, int]]:
-    """Rows of hot keys, dealt to the two halves of the places ``lo`` to ``hi``, with longer keys."""
-    mid = (lo + hi) // 2
-    out = []
-    for a, b in ((lo, mid), (mid + 1, hi)):
-        first, last = F.greatest(F.col("lo"), F.lit(a)), F.least(F.col("hi"), F.lit(b))
-        part = rows.filter((F.col("lo") <= b) & (F.col("hi") >= a)).withColumn("_f", first).withColumn("_e", last)
-        piece = F.expr(f"substring(bytes, _f - lo + 1, _e - _f + {LENGTH})")
-        part = part.withColumn("piece", piece).withColumn("start", F.col("start") + F.col("_f") - F.col("lo"))
-        core = F.expr(f"substring(piece, {b} - _f + 1, {a + LENGTH - b})")  # what all windows of this half hold
-        key = F.xxhash64("key", F.lit(a), core)
-        out.append((part.select(key.alias("key"), "o", "t", "start", F.col("_f").alias("lo"), F.col("_e").alias("hi"), F.col("piece").alias("bytes"), "wants"), a, b))
-    return out
+def _halves(rows: DataFrame) -> DataFrame:
+    """Rows of hot keys, dealt to the two halves of their places ``ga`` to ``gb``, with longer keys.
+
+    All windows of a half hold the bytes from its last window's start to its first window's end,
+    so these bytes join the key.  Rows leave a half that none of their windows is in.
+    """
+    mid = F.expr("floor((ga + gb) / 2)").cast("int")
+    part = F.explode(F.array(F.struct(F.col("ga").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("gb").alias("b"))))
+    out = rows.withColumn("_h", part).withColumns({"ga": F.col("_h.a"), "gb": F.col("_h.b")}).filter("lo <= gb AND hi >= ga AND ga <= gb")
+    out = out.withColumns({"_f": F.greatest("lo", "ga"), "_e": F.least("hi", "gb")})
+    out = out.withColumn("piece", F.expr(f"substring(bytes, _f - lo + 1, _e - _f + {LENGTH})")).withColumn("start", F.col("start") + F.col("_f") - F.col("lo"))
+    core = F.expr(f"substring(piece, gb - _f + 1, ga + {LENGTH} - gb)")
+    return out.select(F.xxhash64("key", "ga", core).alias("key"), "o", "t", "start", F.col("_f").alias("lo"), F.col("_e").alias("hi"), F.col("piece").alias("bytes"), "wants", "ga", "gb")
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """``o, t, a, b``: byte ranges covered by repeated windows, from context rows."""
     spark = rows.sparkSession
-    todo = [(rows.withColumn("wants", F.lit(True)), GRAM - LENGTH, 0)]
+    rows = rows.withColumns({"wants": F.lit(True), "ga": F.lit(GRAM - LENGTH), "gb": F.lit(0)})
     found = None
-    while todo:
-        rows, lo, hi = todo.pop()
+    while True:  # once, and once more per halving of what is hot
         # Bytes are read only for contexts that go on; groups are counted on digests.
         digests = [F.xxhash64(F.lit(1), "bytes").alias("d1"), F.xxhash64(F.lit(2), "bytes", F.length("bytes")).alias("d2")]
         rows = materialize(rows.select("*", *digests), "contexts")
@@ -241,12 +240,15 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         sorted_ = small.mapInArrow(_sorted_chunks, "o long, t long, a long, b long")
         spans = materialize(whole.unionByName(sorted_), "spans")
         found = spans if found is None else found.unionByName(spans)
+        hot = None
         if not keys.filter(F.col("kinds") > GROUP).isEmpty():
-            hot = materialize(on_.filter(F.col("kinds") > GROUP).select(columns), "hot")
-            todo += _halves(hot, lo, hi)
+            hot = materialize(on_.filter(F.col("kinds") > GROUP).select(*columns, "ga", "gb"), "hot")
         discard(spark, rows)
+        discard(spark, kinds)
         release(spark)
-    return found
+        if hot is None:
+            return found
+        rows = _halves(hot)
 
 
 def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
