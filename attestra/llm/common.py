@@ -7,6 +7,7 @@ executor costs a task retry and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import tempfile
@@ -16,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_LIBC = ctypes.CDLL(None)
+
 #: Text is processed in blocks of about this many bytes, so numpy temporaries stay in cache.
 BLOCK_BYTES = 1 << 20
 
@@ -35,10 +38,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to shared scratch and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write ``df`` to shared scratch, in ``parts`` files at most, and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    df = df if parts is None else df.coalesce(parts)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -99,6 +103,14 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and would keep each pass's peak."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_LIBC, "malloc_trim", None)) is not None:
+        trim(0)
 
 
 # --------------------------------------------------------------------------- hashing

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, lower_ascii, materialize, mix, release, shingle_hashes, signed, table, text_blocks, word_hashes
+from .common import discard, free_name, give_back, lower_ascii, materialize, mix, release, shingle_hashes, signed, table, text_blocks, word_hashes
 from .components import merge_labels
 
 SHINGLE = 5
@@ -34,10 +34,12 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: A signature of more classes than this is skipped where sets can afford it.
 COMMON = 24
+#: Rows of a round's tables that go to one file.
+ROUND_ROWS = 100_000
 #: Leaders per group and round.
 LEADERS = (1, 32, 256, 2048)
 #: Rows a reducer holds before it lets go of signatures already known to be common.
-HELD_ROWS = 4_000_000
+HELD_ROWS = 2_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -316,6 +318,8 @@ def _groups(batches):
         for i in range(0, len(lists), 50_000):
             some = lists[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([some, *[pa.nulls(len(some), pa.int64())] * 3], names=names)
+        del held, rows, size, lists
+        give_back()
 
 
 # --------------------------------------------------------------------------- verification
@@ -390,19 +394,19 @@ class Sets:
             self.known = rows if self.known is None else self.known.unionByName(rows)
         return self.known
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame, parts: int) -> DataFrame:
         """Those of ``pairs (a, b)`` whose sets are similar enough: by bitmaps first, then exactly."""
         x = self.classes.select(F.col("c").alias("_a"), F.col("bits").alias("x"), F.col("n"))
         y = self.classes.select(F.col("c").alias("_b"), F.col("bits").alias("y"), F.col("n").alias("m"))
         near = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "x", "y", "n", "m")
-        near = materialize(near.mapInArrow(_plausible, "a long, b long"), "plausible")
+        near = materialize(near.mapInArrow(_plausible, "a long, b long"), "plausible", parts)
         if near.isEmpty():
             return near
         sets = self.fetch(near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))))
         x = sets.select(F.col("c").alias("_a"), F.col("items").alias("x"))
         y = sets.select(F.col("c").alias("_b"), F.col("items").alias("y"))
         full = near.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
-        return materialize(full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links")
+        return materialize(full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links", parts)
 
 
 def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -422,6 +426,8 @@ def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: Dat
     near = (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n")) & (7 * apart <= F.col("n") + F.col("_n"))
     done = None  # pairs compared so far
     turn = 0
+    # Rounds are many and their tables narrow: a file per ``ROUND_ROWS`` rows, not per shuffle partition.
+    parts = max(12, groups.count() // ROUND_ROWS)
     while True:
         lead = LEADERS[min(turn, len(LEADERS) - 1)]
         turn += 1
@@ -429,9 +435,9 @@ def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: Dat
             tagged = groups.select("g", "c", F.col("c").alias("k"))
         else:
             tagged = groups.join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("c") == F.col("_n"), "left").select("g", "c", F.coalesce("_l", "c").alias("k"))
-            tagged = materialize(tagged, "tagged")
+            tagged = materialize(tagged, "tagged", parts)
         spans = tagged.groupBy("g", "k").agg(F.count("*").alias("m")).groupBy(F.col("g").alias("_g")).agg(F.max(F.struct("m", "k"))["k"].alias("base"), F.count("*").alias("spans"))
-        active = materialize(tagged.join(spans.filter("spans > 1"), F.col("g") == F.col("_g")).select("g", "c", "k", "base"), "active")
+        active = materialize(tagged.join(spans.filter("spans > 1"), F.col("g") == F.col("_g")).select("g", "c", "k", "base"), "active", parts)
         discard(spark, groups)
         if labels is not None:
             discard(spark, tagged)
@@ -440,21 +446,21 @@ def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: Dat
             return labels, links
         may = active if turn == 1 else active.filter("k != base")
         leaders = may.withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy("c"))).filter(F.col("_r") <= lead)
-        leaders = materialize(leaders.select("g", "c", "k"), "leaders")
+        leaders = materialize(leaders.select("g", "c", "k"), "leaders", parts)
         left = leaders.join(facts, F.col("c") == F.col("_c")).select(F.col("g").alias("_g"), F.col("c").alias("_c"), F.col("k").alias("_k"), F.col("n").alias("_n"), *[F.col(b).alias(f"_{b}") for b in _SKETCH])
         right = active.select("g", "c", "k").join(facts, F.col("c") == F.col("_c")).drop("_c")
         met = right.join(left, (F.col("g") == F.col("_g")) & (F.col("k") != F.col("_k")) & near)
         pairs = met.select(F.least("c", "_c").alias("a"), F.greatest("c", "_c").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = sets.verify(pairs)
+        pairs = materialize(pairs, "pairs", parts)
+        found = sets.verify(pairs, parts)
         done = pairs if done is None else done.unionByName(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = merge_labels(labels, found, links)
         used = leaders.select(F.col("g").alias("_g"), F.col("c").alias("_c"))
-        groups = materialize(active.join(used, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")), "left_anti").select("g", "c"), "groups")
+        groups = materialize(active.join(used, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")), "left_anti").select("g", "c"), "groups", parts)
         discard(spark, active)
         release(spark)
 
@@ -493,7 +499,8 @@ def _by_deletion(unsafe: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame]:
     """
     items = sets.fetch(unsafe.select("c")).join(unsafe.withColumnRenamed("c", "_c"), F.col("c") == F.col("_c")).select("c", "items", "u")
     rows = materialize(items.mapInArrow(_deletion_rows, "sig long, c long, u byte, seg int, spare long"), "deletions")
-    per = materialize(rows.groupBy("sig").agg(F.approx_count_distinct("c", 0.01).alias("m"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select(F.col("sig").alias("_s"), (F.col("m") > COMMON).alias("common")), "common")
+    per = rows.select("sig", "c").distinct().groupBy(F.col("sig").alias("_s")).agg(F.count("*").alias("m")).filter("m > 1")
+    per = materialize(per.select("_s", (F.col("m") > COMMON).alias("common")), "common")
     met = rows.join(per, F.col("sig") == F.col("_s"))
     groups = met.filter("NOT common").select(F.col("sig").alias("g"), "c").distinct()
     gone = met.filter("common").groupBy(F.col("c").alias("_c"), F.col("u").alias("_u")).agg(F.countDistinct("seg").alias("gone"))
@@ -532,7 +539,7 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     if not classes.filter("low < high").isEmpty():
         raise ValueError("two different sets have one 64-bit class hash; change the hash constants")
     total = classes.agg(F.sum(F.col("f0") + F.col("f1")).alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000 + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000 + 1)
     parcels = plain.filter(F.length("text") > 0).select("text").mapInArrow(_parcels(parts), _PARCEL)
     grouped = materialize(parcels.repartitionById(parts, F.col("part")).mapInArrow(_groups, _GROUPS), "grouped")
     release(spark)
