@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize, scratch_path, table
+from .common import free_name, give_back, materialize, scratch_path, table
 
 #: UTF-8 bytes of text a bucket should hold.  A task holds one bucket about three times over.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 SHARDS = 8
 
 
@@ -66,12 +66,14 @@ def external_shuffle(docs: DataFrame, text: str = "text", key: str = "doc_id", s
         if held is None:
             return
         for b in sorted(pc.unique(held[where]).to_pylist()):
-            one = held.filter(pc.equal(held[where], b))
-            one = one.take(pc.sort_indices(one[tie]))  # so the outcome does not hang on arrival order
-            order = fisher_yates(len(one), [seed, b])
-            for i in range(0, len(one), 4096):
-                part = one.take(pa.array(order[i : i + 4096])).select(names).append_column(place, pa.array(np.arange(i, min(i + 4096, len(one)))))
+            rows = np.flatnonzero(pc.equal(held[where], b).to_numpy())
+            # Ties are sorted first, so that the outcome does not hang on the order of arrival.
+            order = rows[np.argsort(held[tie].to_numpy()[rows], kind="stable")][fisher_yates(len(rows), [seed, b])]
+            for i in range(0, len(order), 1024):
+                part = held.select(names).take(pa.array(order[i : i + 1024])).append_column(place, pa.array(np.arange(i, min(i + 1024, len(order)))))
                 yield from part.combine_chunks().to_batches()
+        del held
+        give_back()
 
     path = scratch_path(spark, "shuffled")
     scattered.mapInArrow(shuffle, schema).write.parquet(path)
