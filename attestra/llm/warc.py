@@ -7,8 +7,8 @@ each archive's pieces in order, and joins them again by ``Content-Length``: a pa
 ``CRLF CRLF``, or a whole WARC record, is not misread.
 
 Revisits are resolved on headers alone: (digest, length, page) rows are pre-aggregated to each
-digest's first page, so a hot digest is one row.  Payloads move once, by their unique record id,
-when the deduplicated archives are written.
+digest's first page, so a hot digest is one row.  Payloads move, by their unique record id, only
+where revisits are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ END = "\r\n\r\n"
 VERSION = "WARC/1.1"
 #: Payloads below this many bytes are not worth a revisit record.
 MIN_REVISIT_BYTES = 100
+#: Revisits (about 150 bytes each) that may be broadcast.
+BROADCAST_REVISITS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = T.StructType(
@@ -71,7 +73,8 @@ def _record(kind: str, record_id: Column, page: Column, url: Column, digest: Col
 
 
 def _write(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", END).option("compression", "gzip").text(path)
+    # The fast gzip level: archives are read back at once, and half the time goes into packing.
+    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -178,9 +181,12 @@ def resolve_revisits(headers: DataFrame) -> DataFrame:
 def write_deduplicated(records: DataFrame, revisits: DataFrame, path: str) -> None:
     """Write ``records`` again with fresh headers; revisits keep the HTTP head and lose the payload.
 
-    ``revisits`` has a row per revisit, of two short ids; payloads meet it by record id.
+    ``revisits`` has a row per revisit, of two short ids.  Up to ``BROADCAST_REVISITS`` of them are
+    broadcast, and payloads stay where they are read; more meet the payloads by record id.
     """
+    revisits = materialize(revisits, "warc-revisits")
     r = revisits.select(F.col("record_id").alias("_r"), F.col("refers_to_id").alias("_to"))
+    r = F.broadcast(r) if revisits.count() <= BROADCAST_REVISITS else r
     rows = records.join(r, F.col("record_id") == F.col("_r"), "left")
     body = F.col("payload").cast("string")
     args = (F.col("record_id"), F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"))
