@@ -7,7 +7,13 @@ copied passage meets one of them at distance 0 wherever it starts, and an edited
 
 Fingerprints within ``RADIUS`` of an indexed one are all found: of four 16-bit blocks at least one
 differs by at most ``RADIUS // 4`` bits, and the index lists each block's neighbours at that
-distance.  Candidates are verified by the weighted similarity of word shingles.
+distance.
+
+Windows at tile starts miss edited passages, so the search does not rest on them: an item's rarest
+shingles, of more than ``1 - SIMILARITY`` of its weight together, are its anchors, and every shingle
+of a document is looked up.  A passage without an anchor holds too little of the item, so no similar
+passage is lost.  Around each candidate all passages of the item's length, ``2 * SLACK`` words more
+or less, are compared by the weighted similarity of word shingles.
 
 Documents stream past the index in one pass; nothing is shuffled.  Items are loaded in blocks of
 ``ITEM_BLOCK``, one pass each, so the index in a task is bounded whatever the benchmark's size.
@@ -16,7 +22,7 @@ Documents stream past the index in one pass; nothing is shuffled.  Items are loa
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, log
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -36,7 +42,6 @@ ITEM_BLOCK = 2_000
 SLACK = 2
 
 _BLOCKS, _BITS = 4, 16
-_SHIFTS = sorted(((d, e) for d in range(-SLACK, SLACK + 1) for e in range(-SLACK, SLACK + 1)), key=lambda x: (abs(x[0]) + abs(x[1]), x))
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -66,15 +71,21 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return shingle_hashes(words, min(SHINGLE, len(words))) if len(words) else np.empty(0, np.uint64)
 
 
+def _words_of(column: pa.Array) -> list[np.ndarray]:
+    """Word hashes of each text."""
+    words: list[np.ndarray] = []
+    for _, data, offsets in text_blocks(column):
+        hashes, first = word_hashes(lower_ascii(data), offsets)
+        words += [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    return words
+
+
 class ItemIndex:
     """The benchmark's fingerprints and shingle weights, as shipped to tasks."""
 
     def __init__(self, items: list[tuple[int, str]]):
         kept = [(i, t) for i, t in items if t]
-        words: list[np.ndarray] = []
-        for _, data, offsets in text_blocks(pa.array([t for _, t in kept], pa.large_string())):
-            hashes, first = word_hashes(lower_ascii(data), offsets)
-            words += [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        words = _words_of(pa.array([t for _, t in kept], pa.large_string()))
         self.items = [(i, w) for (i, _), w in zip(kept, words, strict=True) if len(w)]
         self.sets = [np.unique(shingle_set(w), return_counts=True) for _, w in self.items]
         held, counts = np.unique(np.concatenate([s for s, _ in self.sets]), return_counts=True) if self.items else (np.empty(0, np.uint64), np.empty(0))
@@ -93,6 +104,25 @@ class ItemIndex:
             level += 1
         self._add(-1, 1, [k for k, (_, w) in enumerate(self.items) if len(w) == 1])  # one word, one tile
         self.tables = [[self._table(c[2], b) for b in range(_BLOCKS)] for c in self.classes]
+        self.anchors = self._anchors()
+
+    def _anchors(self) -> list[tuple]:
+        """Per shingle width: sorted anchors, offsets into their items, the items, and a filter by the upper bits."""
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, ((_, w), (s, n)) in enumerate(zip(self.items, self.sets, strict=True)):
+            weights = self.weigh(s) * n
+            order = np.argsort(-self.weigh(s), kind="stable")
+            some = int(np.searchsorted(np.cumsum(weights[order]), (1 - SIMILARITY) * self.totals[k] + 1e-6, side="right")) + 1
+            found.setdefault(min(SHINGLE, len(w)), []).append((s[order[:some]], k))
+        out = []
+        for width, lists in sorted(found.items()):
+            every, owner = np.concatenate([s for s, _ in lists]), np.repeat([k for _, k in lists], [len(s) for s, _ in lists])
+            order = np.argsort(every, kind="stable")
+            keys, at = np.unique(every[order], return_index=True)
+            sieve = np.zeros(1 << 20, bool)
+            sieve[keys >> np.uint64(44)] = True
+            out.append((width, keys, np.append(at, len(every)), owner[order], sieve))
+        return out
 
     def _add(self, level: int, width: int, group: list[int]) -> None:
         prints, owner, shift = [], [], []
@@ -131,12 +161,6 @@ class ItemIndex:
         total = self.totals[k] + float((self.weigh(theirs) * m).sum()) - both
         return both / total if total else 0.0
 
-    def hopeless(self, k: int, shingles: np.ndarray) -> bool:
-        """Whether no part of the passage can be similar enough: too little of the item is in it."""
-        mine, n = self.sets[k]
-        held = np.isin(mine, shingles)
-        return float((self.weigh(mine[held]) * n[held]).sum()) < SIMILARITY * self.totals[k] - 1e-9
-
     def candidates(self, words: np.ndarray, first: np.ndarray):
         """Yield ``(item, start)`` arrays: where items would start in a block of documents' words."""
         counts = np.diff(first) // self.tile
@@ -175,33 +199,78 @@ class ItemIndex:
             entry = pairs % len(prints)
             yield owner[entry], begins[pairs // len(prints)] - shift[entry]
 
+    def anchored(self, words: np.ndarray, first: np.ndarray, full: np.ndarray):
+        """Yield ``(row, item, place)`` arrays of all anchors in a block of documents' words."""
+        for width, keys, offsets, owner, sieve in self.anchors:
+            every = full if width == SHINGLE else shingle_hashes(words, width)
+            place = np.flatnonzero(sieve[every >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(keys, every[place]), len(keys) - 1)
+            same = keys[at] == every[place]
+            place, at = place[same], at[same]
+            row = np.searchsorted(first, place, side="right") - 1
+            whole = place + width <= first[row + 1]
+            place, at, row = place[whole], at[whole], row[whole]
+            size = offsets[at + 1] - offsets[at]
+            into = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[at], size)
+            yield np.repeat(row, size), owner[into], np.repeat(place, size)
+
+    def _passages(self, k: int, full: np.ndarray, lo: int, hi: int, places: list[int]):
+        """The best ``(similarity, -start, words)`` of the passages of words ``lo`` to ``hi`` around ``places``, or None."""
+        mine, length, total = self.sets[k][0], len(self.items[k][1]), self.totals[k]
+        spans: list[list[int]] = []
+        for p in places:
+            a, z = max(p + 1 - length, lo), min(p + length + 2 * SLACK, hi)
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(z, spans[-1][1])
+            else:
+                spans.append([a, z])
+        likely = []
+        for a, z in spans:
+            part = full[a : max(z - SHINGLE + 1, a)]
+            weights = self.weigh(part)
+            held = mine[np.minimum(np.searchsorted(mine, part), len(mine) - 1)] == part
+            if (weights * held).sum() < SIMILARITY * total - 1e-9:
+                continue
+            every, both = np.append(0.0, np.cumsum(weights)), np.append(0.0, np.cumsum(weights * held))
+            for n in range(max(SHINGLE, length - 2 * SLACK), min(length + 2 * SLACK, z - a) + 1):
+                c = n - SHINGLE + 1
+                # Exact unless the passage repeats a shingle more often than the item; then too high.
+                shared = np.minimum(both[c:] - both[:-c], total)
+                bound = shared / (total + every[c:] - every[:-c] - shared)
+                likely += [(-round(float(bound[i]), 9), int(i) + a, -n) for i in np.flatnonzero(bound >= SIMILARITY - 1e-9)]
+        best = None
+        for bound, start, n in sorted(likely):
+            if best and (best[0] >= 1 or -bound < best[0] - 2e-9):
+                break
+            sim = self.similarity(k, full[start : start - n - SHINGLE + 1])
+            if sim >= SIMILARITY:
+                best = max(best or (0.0,), (sim, -start, -n))
+        return best
+
     def search(self, column: pa.Array):
         """Yield ``(row, item, similarity, first word, words)``, the best of each row and item."""
         for first_row, data, offsets in text_blocks(column, 1 << 18):
             words, first = word_hashes(lower_ascii(data), offsets)
             full = shingle_hashes(words, SHINGLE)
-            part = lambda a, z: full[a : z - SHINGLE + 1] if z - a >= SHINGLE else shingle_set(words[a:z])  # noqa: E731, B023
-            best: dict[tuple[int, int], tuple] = {}
-            tried: set[tuple[int, int]] = set()
+            lengths = np.array([len(w) for _, w in self.items])
+            met = list(self.anchored(words, first, full))
             for owners, starts in self.candidates(words, first):
-                for k, start in zip(owners.tolist(), starts.tolist(), strict=True):
-                    if (k, start) in tried:
-                        continue
-                    tried.add((k, start))
-                    length = len(self.items[k][1])
-                    middle = min(max(start + length // 2, 0), len(words) - 1)
-                    row = int(np.searchsorted(first, middle, side="right")) - 1
-                    lo, hi = int(first[row]), int(first[row + 1])
-                    if length > SHINGLE + 2 * SLACK and self.hopeless(k, part(max(start - SLACK, lo), min(start + length + SLACK, hi))):
-                        continue
-                    for d, e in _SHIFTS:
-                        if best.get((row, k), (0.0,))[0] >= 1:  # it cannot get better
-                            break
-                        a, z = max(start + d, lo), min(start + length + e, hi)
-                        if a < z and (sim := self.similarity(k, part(a, z))) >= SIMILARITY:
-                            best[row, k] = max(best.get((row, k), (0.0,)), (sim, -(a - lo), z - a))
-            for (row, k), (sim, start, n) in sorted(best.items()):
-                yield first_row + row, self.items[k][0], sim, -start, n
+                long = lengths[owners] >= SHINGLE  # shorter items are found by their anchors only
+                owners, starts = owners[long], starts[long]
+                middle = np.clip(starts + lengths[owners] // 2, 0, len(words) - 1)
+                met.append((np.searchsorted(first, middle, side="right") - 1, owners, middle))
+            around: dict[tuple[int, int], list[int]] = {}
+            if met:
+                rows, owners, places = (np.concatenate(x) for x in zip(*met, strict=True))
+                order = np.lexsort((places, owners, rows))
+                for row, k, place in zip(rows[order].tolist(), owners[order].tolist(), places[order].tolist(), strict=True):
+                    around.setdefault((row, k), []).append(place)
+            for (row, k), places in around.items():
+                lo, hi = int(first[row]), int(first[row + 1])
+                if lengths[k] < SHINGLE:
+                    yield first_row + row, self.items[k][0], 1.0, places[0] - lo, int(lengths[k])
+                elif best := self._passages(k, full, lo, hi, places):
+                    yield first_row + row, self.items[k][0], best[0], -best[1] - lo, best[2]
 
 
 def _blocks(items: DataFrame, item: str, text: str) -> list[list[tuple[int, str]]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -155,6 +156,40 @@ def test_edited_leaks_as_brute_force_has_them(spark):
             assert (k, k % 6) not in found
 
 
+@pytest.mark.parametrize("sizes", [(15, 23, 30, 59), (60, 64, 75, 90), (120, 125, 130, 160)])
+def test_runs_of_edits_against_every_window(sizes):
+    rng = random.Random(sum(sizes))
+    items = [(i, prose(700 + i, n)) for i, n in enumerate(sizes)]
+    index = decontamination.ItemIndex(items)
+    texts = []
+    for i, t in items:
+        for run in range(2, 9):
+            for replaced in (True, False):
+                for k in range(6):
+                    w = t.split()
+                    at = rng.randrange(len(w))
+                    w[at : at + run if replaced else at] = [f"new{rng.random()}" for _ in range(run)]
+                    texts.append((i, f"{prose(rng.randrange(10**6), k)} {' '.join(w)} {prose(rng.randrange(10**6), 70)}"))
+    column = pa.array([t for _, t in texts], pa.large_string())
+    found = {(row, i): sim for row, i, sim, *_ in index.search(column)}
+    (_, data, offsets), = decontamination.text_blocks(column)
+    words, first = decontamination.word_hashes(data, offsets)
+    some = 0
+    for row, (i, _) in enumerate(texts):
+        mine = words[first[row] : first[row + 1]]
+        best = max(index.similarity(i, decontamination.shingle_set(mine[a : a + sizes[i]])) for a in range(len(mine) - sizes[i] + 1))
+        if best >= 0.75:
+            some += 1
+            assert found.get((row, i), 0) >= best - 1e-9
+    assert some > 20
+
+
+def test_equal_copies_start_at_the_first(spark):
+    item = prose(3, 12)
+    _, _, found = leaks(spark, [(1, f"a b {item} c {item}", "s"), (2, f"{prose(4, 5)} one two x one two", "s")], [(1, item), (2, "one two")])
+    assert {k: (r["similarity"], r["first_word"], r["n_words"]) for k, r in found.items()} == {(1, 1): (1.0, 2, 12), (2, 2): (1.0, 5, 2)}
+
+
 def test_leaks_of_awkward_rows(spark):
     items = [(1, prose(2, 90)), (2, None), (None, "x y z"), (3, " "), (4, "one two"), (5, "lonelyword")]
     _, _, found = leaks(spark, [*awkward(), (70, "a lonelyword b", "s")], items)
