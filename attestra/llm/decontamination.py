@@ -15,14 +15,15 @@ of a document is looked up.  A passage without an anchor holds too little of the
 passage is lost.  Around each candidate all passages of the item's length, ``2 * SLACK`` words more
 or less, are compared by the weighted similarity of word shingles.
 
-Documents stream past the index in one pass; nothing is shuffled.  Items are loaded in blocks of
-``ITEM_BLOCK``, one pass each, so the index in a task is bounded whatever the benchmark's size.
+Documents stream past the index in one pass and are not shuffled.  Items are loaded in blocks of
+``ITEM_BLOCK``, one pass each.  Weights and the tile are those of the whole benchmark, so blocks do
+not change results; besides its block a task holds the shingles that two or more items share.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import log
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, shingle_hashes, table, text_blocks, word_hashes
+from .common import lower_ascii, shingle_hashes, signed, table, text_blocks, word_hashes
 
 RADIUS = 7
 SHINGLE = 5
@@ -80,21 +81,34 @@ def _words_of(column: pa.Array) -> list[np.ndarray]:
     return words
 
 
+class Statistics(NamedTuple):
+    """What weights and tiles come from, over the whole benchmark."""
+
+    items: int
+    least: int  # words of the shortest item
+    shared: np.ndarray  # sorted shingles of two or more items
+    counts: np.ndarray  # and how many hold each
+
+
 class ItemIndex:
-    """The benchmark's fingerprints and shingle weights, as shipped to tasks."""
+    """The benchmark's fingerprints and shingle weights, as shipped to tasks.
+
+    ``items`` may be a block of the benchmark; ``statistics`` are those of all of it (default: ``items``).
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         kept = [(i, t) for i, t in items if t]
         words = _words_of(pa.array([t for _, t in kept], pa.large_string()))
         self.items = [(i, w) for (i, _), w in zip(kept, words, strict=True) if len(w)]
         self.sets = [np.unique(shingle_set(w), return_counts=True) for _, w in self.items]
-        held, counts = np.unique(np.concatenate([s for s, _ in self.sets]), return_counts=True) if self.items else (np.empty(0, np.uint64), np.empty(0))
-        # Shingles of fewer items weigh more; what no item holds weighs as much as the rarest.
-        self.shingles, self.weights = held, np.log1p(len(self.items) / np.maximum(counts, 1))
-        self.rare = log(1 + len(self.items)) if self.items else 1.0
+        if statistics is None:
+            held, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *[s for s, _ in self.sets]]), return_counts=True)
+            statistics = Statistics(len(self.items), min((len(w) for _, w in self.items), default=2), held[counts > 1], counts[counts > 1])
+        # Shingles of fewer items weigh more; what one item or none holds weighs most.
+        self.shingles, self.weights = statistics.shared, np.log1p(statistics.items / np.maximum(statistics.counts, 1))
+        self.rare = float(np.log1p(statistics.items)) if statistics.items else 1.0
         self.totals = [float((self.weigh(s) * n).sum()) for s, n in self.sets]
-        least = min((len(w) for _, w in self.items), default=2)
-        self.tile = max(1, (least + 1) // 3)
+        self.tile = max(1, (statistics.least + 1) // 3)
         self.classes = []
         level = 0
         while any(len(w) >= 3 * (self.tile << level) - 1 for _, w in self.items):
@@ -273,11 +287,32 @@ class ItemIndex:
                     yield first_row + row, self.items[k][0], best[0], -best[1] - lo, best[2]
 
 
-def _blocks(items: DataFrame, item: str, text: str) -> list[list[tuple[int, str]]]:
-    rows = items.filter(F.col(item).isNotNull() & (F.length(F.trim(F.col(text))) > 0)).select(F.col(item).cast("long"), F.col(text))
-    parts = max(1, -(-rows.count() // ITEM_BLOCK))
+def _statistics(rows: DataFrame, text: str) -> Statistics:
+    """Items, the shortest one's words and the shared shingles, counted over all ``rows``."""
+
+    def shingles(batches):
+        for batch in batches:
+            words = _words_of(batch.column(0))
+            sets = [np.unique(shingle_set(w)) for w in words]
+            sizes = [len(s) for s in sets]
+            every = np.concatenate([np.empty(0, np.uint64), *sets])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(every)), pa.array(np.repeat([len(w) for w in words], sizes).astype(np.int64))], names=["shingle", "words"])
+
+    counted = rows.select(F.col(text)).mapInArrow(shingles, "shingle long, words long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("words").alias("words"))
+    total = rows.count()
+    least, shared = counted.agg(F.min("words"), F.collect_list(F.when(F.col("n") > 1, F.struct("shingle", "n")))).first()
+    keys = np.array([r["shingle"] for r in shared], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Statistics(total, 2 if least is None else least, keys[order], np.array([r["n"] for r in shared], np.int64)[order])
+
+
+def _indexes(items: DataFrame, item: str, text: str) -> list[ItemIndex]:
+    """One index per block of the benchmark, all with the statistics of the whole."""
+    rows = items.filter(F.col(item).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(F.col(item).cast("long"), F.col(text))
+    statistics = _statistics(rows, text)
+    parts = max(1, -(-statistics.items // ITEM_BLOCK))
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
-    return [[tuple(r) for r in rows.filter(part == b).orderBy(*rows.columns).collect()] for b in range(parts)]
+    return [ItemIndex([tuple(r) for r in rows.filter(part == b).orderBy(*rows.columns).collect()], statistics) for b in range(parts)]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -289,8 +324,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()),
                            T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
     out = None
-    for block in _blocks(items, item, item_text):
-        index = ItemIndex(block)
+    for index in _indexes(items, item, item_text):
 
         def run(batches, index=index):
             for batch in batches:
@@ -315,8 +349,8 @@ def _without(index: ItemIndex):
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; columns as they were, nothing shuffled."""
-    for block in _blocks(items, item, item_text):
-        docs = docs.filter(_without(ItemIndex(block))(F.col(text)))
+    for index in _indexes(items, item, item_text):
+        docs = docs.filter(_without(index)(F.col(text)))
     return docs
 
 

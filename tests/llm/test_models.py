@@ -190,6 +190,24 @@ def test_equal_copies_start_at_the_first(spark):
     assert {k: (r["similarity"], r["first_word"], r["n_words"]) for k, r in found.items()} == {(1, 1): (1.0, 2, 12), (2, 2): (1.0, 5, 2)}
 
 
+def test_blocks_of_items_do_not_change_results(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = prose(50, 12)
+    items = [(i, f"{prose(300 + i, 24)} {shared if i % 2 else ''} {prose(400 + i, 6)}") for i in range(12)] + [(12, prose(51, 9))]
+    rows = []
+    for k in range(240):
+        w = items[k % 13][1].split()
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = f"new{k}"
+        rows.append((k, f"{prose(k, 12)} {' '.join(w)} {prose(k + 1, 9)}", "s"))
+    d, b, whole = leaks(spark, rows, items)
+    kept = {r["doc_id"] for r in decontamination.drop_leaks(d, b).collect()}
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 3)
+    d, b, dealt = leaks(spark, rows, items)
+    assert dealt == whole and 60 < len(whole) < 240
+    assert {r["doc_id"] for r in decontamination.drop_leaks(d, b).collect()} == kept == set(range(240)) - {i for i, _ in whole}
+
+
 def test_leaks_of_awkward_rows(spark):
     items = [(1, prose(2, 90)), (2, None), (None, "x y z"), (3, " "), (4, "one two"), (5, "lonelyword")]
     _, _, found = leaks(spark, [*awkward(), (70, "a lonelyword b", "s")], items)
