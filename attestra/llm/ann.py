@@ -265,7 +265,7 @@ def nearest(vectors: DataFrame, k: int, is_query: Column, key: str = "vec_id", v
     )
     # A copy group keeps its k + 1 smallest ids; the limit is applied before the shuffle as well.
     some = Window.partitionBy("vector").orderBy("id")
-    copies = good.select("id", "vector").withColumn("_r", F.row_number().over(some)).filter(F.col("_r") <= k + 1)
+    copies = good.select("id", "vector").distinct().withColumn("_r", F.row_number().over(some)).filter(F.col("_r") <= k + 1)
     points = copies.groupBy("vector").agg(F.min("id").alias("id"), F.sort_array(F.collect_set("id")).alias("members"))
     points = materialize(points, "ann-points")
     total = points.count()

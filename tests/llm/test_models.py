@@ -251,6 +251,12 @@ def test_few_copies_and_unusable_vectors(spark):
     assert search(spark, []) == {} and search(spark, [(0, [1.0])]) == {}
 
 
+def test_copies_with_repeated_rows(spark):
+    hot = [0.5, 0.25, -1.0]
+    rows = [(i, hot) for i in (0, 0, 0, 0, 2, 4, 4, 6, 8, 10, 12)] + [(1, [0.5, 0.25, -0.9]), (3, [0.5, 0.2, -1.0])]
+    assert search(spark, rows) == {0: [2, 4, 6, 8, 10]}
+
+
 def test_every_point_can_be_reached():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(400, 8)) * 0.01 + c for c in rng.normal(size=(5, 8)) * 10])
