@@ -191,11 +191,12 @@ def _strength() -> Column:
     """Documents' worth of the level above: ``m (1 - m) / between - 1`` by the method of moments.
 
     Aggregates group rows ``n, s, q`` (count, sum and sum of squares of probabilities) with ``m``,
-    the rate of the level above.  Without variance between groups, the level above rules.
+    the rate of the level above.  A group weighs by its documents, whatever their number.  Without
+    variance between groups, the level above rules.
     """
     rate = F.col("s") / F.col("n")
     within = F.greatest(F.col("q") / F.col("n") - rate * rate, F.lit(1e-6)) / F.col("n")
-    weight = F.least(F.col("n"), F.lit(1000.0))
+    weight = F.col("n")
     between = F.sum(weight * ((rate - F.col("m")) * (rate - F.col("m")) - within)) / F.sum(weight)
     mean = F.sum(weight * F.col("m")) / F.sum(weight)
     return F.least(F.greatest(mean * (1 - mean) / F.greatest(between, F.lit(1e-6)) - 1, F.lit(1.0)), F.lit(1e6))

@@ -52,6 +52,14 @@ def test_posteriors_shrink_towards_the_level_above(spark):
     assert s["big"]["pn"] == 0
 
 
+def test_strength_weighs_sites_by_their_size(spark):
+    sizes = np.array([6000.0, 1500.0, 300.0])
+    rates = np.array([0.4, 0.7, 0.2])
+    sums = spark.createDataFrame([(float(n), float(n * r), float(n * r * r), 0.45) for n, r in zip(sizes, rates, strict=True)], "n double, s double, q double, m double")
+    between = (sizes * ((rates - 0.45) ** 2 - 1e-6 / sizes)).sum() / sizes.sum()
+    assert sums.agg(quality._strength().alias("k")).first()["k"] == pytest.approx(0.45 * 0.55 / between - 1, rel=1e-6)
+
+
 def test_sites(spark):
     rows = spark.createDataFrame([("https://A.com/x/y?q",), ("a.com",), (None,), ("a.com/top",)], "s string")
     host, path = quality.site_of(F.col("s"))
