@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 _LIBC = ctypes.CDLL(None)
 
 #: Text is processed in blocks of about this many bytes, so numpy temporaries stay in cache.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = (1 << 20) - 1
+#: Bytes of an Arrow batch that passes between the JVM and a Python worker, a long row aside.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,6 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    bound_batches(spark)
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -47,6 +51,11 @@ def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES``: both sides keep whole batches, 64 MB each by default."""
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now: they go when their plans are collected."""
     gc.collect()
@@ -66,6 +75,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -119,7 +129,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(base: int) -> np.ndarray:
         out = np.full(n, base, np.uint64)
@@ -130,7 +140,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())
     forth, back = _powers(size)
     return forth[:n], back[:n]
 

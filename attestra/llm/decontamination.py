@@ -26,7 +26,6 @@ from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -338,11 +337,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def _without(index: ItemIndex):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         out = np.ones(len(texts), bool)
-        out[[row for row, *_ in index.search(pa.array(texts, pa.large_string(), from_pandas=True))]] = False
-        return pd.Series(out)
+        out[[row for row, *_ in index.search(texts)]] = False
+        return pa.array(out)
 
     return clean
 

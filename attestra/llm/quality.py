@@ -13,13 +13,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, lower_ascii, materialize, prefix_hash, shingle_hashes, span_hash, table, text_blocks, word_spans
+from .common import bound_batches, free_name, lower_ascii, materialize, prefix_hash, shingle_hashes, span_hash, table, text_blocks, word_spans
 from .linear import fit_logistic, sigmoid
 
 #: Labelled rows the classifier is fitted on, at most.
@@ -148,9 +147,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 def classify(docs: DataFrame, model: AdditiveModel, name: str, text: str = "text") -> DataFrame:
     """``docs`` with the classifier's probability of good quality as ``name``; texts stay in the JVM."""
 
-    @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(text_statistics(pa.array(texts, pa.large_string(), from_pandas=True))))
+    bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        return pa.array(model.probability(text_statistics(texts)))
 
     return docs.withColumn(name, probability(F.col(text)))
 
