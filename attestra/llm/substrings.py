@@ -1,17 +1,26 @@
 """op7 -- substring deduplication with a log-structured fingerprint index.
 
-Documents arrive in batches, in document order.  A batch's anchors (see ``winnow``: every window of
-13 words holds one) are written as an immutable run sorted by fingerprint.  The run is merge-joined
-with the historical runs; a fingerprint that another document holds as well names contexts (runs of
-windows under one anchor) to verify, in new and historical documents alike.
-
-Verification first compares whole contexts: one that an earlier document holds too is a repeat.
-Where a fingerprint has different contexts, their windows are compared one by one.  Runs are
-compacted into one when there are ``FAN_IN`` of them.
+Documents arrive in batches, in document order.  Every window of 13 words holds one anchor (see
+``winnow``), and a run of windows under one anchor is a context.  The index keeps, in one shared
+folder that can be opened again:
+
+* ``runs``: immutable sorted runs, one a batch.  A row is a kind of context (anchor fingerprint and
+  digest of its window hashes) with its earliest place.  Runs are bucketed by fingerprint, so a new
+  batch is merge-joined with history without moving history, and copies of a passage are one row.
+* ``docs``: the texts, bucketed by document, so contexts are read again without moving texts.
+
+A batch's contexts are compared with the kinds of new and historical documents under the same
+fingerprints.  First whole contexts: one that an earlier document holds too is a repeat.  Where a
+fingerprint has different kinds, the windows of each kind's earliest place are hashed from the
+text and compared one by one.  Equality is that of 128 bits (fingerprint and digest, or fingerprint,
+place and window hash); words themselves are not compared.
+
+Runs are levelled: ``FAN_IN`` runs of one level are compacted into one of the next, bucket by bucket.
 """
 
 from __future__ import annotations
 
+import uuid
 from itertools import compress
 
 import numpy as np
@@ -20,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, free_name, materialize, mix, release, shingle_hashes, signed, table, text_blocks, word_hashes
+from .common import discard, free_name, materialize, mix, release, remove, scratch_path, shingle_hashes, signed, table, text_blocks, word_hashes
 from .winnow import contexts, ranges
 
 WINDOW = 13
 GRAM = 5
-BATCHES = 2
-#: Runs are compacted when so many have gathered.
-FAN_IN = 4
+BATCHES = 3
+#: Runs of one level that are compacted into one of the next.
+FAN_IN = 2
 _LAST = (1 << 63) - 1
 
 
@@ -35,23 +44,7 @@ def _keys(docs: DataFrame, key: str, text: str) -> list[Column]:
     """``o, t``: a document's order (null last) and, where keys repeat, what tells their rows apart."""
     order = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
     unique = docs.groupBy(order).count().filter("count > 1").isEmpty()
-    return [order.alias("o"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("t")]
-
-
-def _anchors(batches):
-    names = ["o", "t", "fp"]
-    for batch in batches:
-        for first, data, offsets in text_blocks(batch.column(2)):
-            words, at = word_hashes(data, offsets)
-            grams = shingle_hashes(words, GRAM)
-            row, _, _, anchor = contexts(grams, at, WINDOW, GRAM)
-            fp = grams[anchor]
-            order = np.lexsort((fp, row))
-            row, fp = row[order], fp[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (fp[1:] != fp[:-1])
-            rows = pa.array(first + row[new])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(signed(fp[new]))], names=names)
+    return [order.alias("o"), (F.lit(0).cast("long") if unique else F.xxhash64(F.col(text))).alias("t")]
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -62,112 +55,176 @@ def window_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def _contexts(batches):
-    """Contexts of rows ``o, t, text, shared`` under shared fingerprints, with their windows' hashes.
+_CONTEXT = "fp long, digest long, o long, t long, start int, place int, n int"
 
-    Hashes are compared under one fingerprint and place only, so 128 bits must agree.
-    """
-    names = ["fp", "digest", "o", "t", "start", "place", "windows"]
+
+def _contexts(batches):
+    """All contexts of rows ``o, t, text``: first window, its place against the anchor, windows."""
+    names = ["fp", "digest", "o", "t", "start", "place", "n"]
     for batch in batches:
-        shared = batch.column(3)
-        flat, ends = shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(np.r_[0, shared.value_lengths().to_numpy(zero_copy_only=False)])
         for first, data, offsets in text_blocks(batch.column(2), 1 << 19):
             words, at = word_hashes(data, offsets)
             grams = shingle_hashes(words, GRAM)
             row, lo, hi, anchor = contexts(grams, at, WINDOW, GRAM)
-            # Is (row, fingerprint) among the shared ones?  Both sides are packed into one hash.
-            n = len(offsets) - 1
-            of = np.repeat(np.arange(n, dtype=np.uint64), np.diff(ends[first : first + n + 1]))
-            wanted = np.unique(mix(flat[ends[first] : ends[first + n]] ^ mix(of + np.uint64(1))))
-            hit = np.isin(mix(grams[anchor] ^ mix(row.astype(np.uint64) + np.uint64(1))), wanted)
-            row, lo, hi, anchor = row[hit], lo[hit], hi[hit], anchor[hit]
             starts, which = ranges(lo, hi)
-            hashes = window_hashes(words, starts)
             digest = np.zeros(len(row), np.uint64)
-            np.add.at(digest, which, mix(hashes + (starts - anchor[which]).astype(np.uint64)))
+            np.add.at(digest, which, mix(window_hashes(words, starts) + (starts - anchor[which]).astype(np.uint64)))
             take = pa.array(first + row)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hi - lo + 1)].astype(np.int32)), pa.array(signed(hashes)))
             columns = [pa.array(signed(grams[anchor])), pa.array(signed(mix(digest))), batch.column(0).take(take), batch.column(1).take(take)]
-            columns += [pa.array((lo - at[row]).astype(np.int32)), pa.array((lo - anchor).astype(np.int32)), lists]
-            for i in range(0, max(len(row), 1), 16384):
-                yield pa.RecordBatch.from_arrays([c[i : i + 16384] for c in columns], names=names)
+            columns += [pa.array(x.astype(np.int32)) for x in (lo - at[row], lo - anchor, hi - lo + 1)]
+            for i in range(0, max(len(row), 1), 65536):
+                yield pa.RecordBatch.from_arrays([c[i : i + 65536] for c in columns], names=names)
 
 
-_CONTEXT = "fp long, digest long, o long, t long, start int, place int, windows array<long>"
+_WINDOW = "fp long, place int, h long, o long, t long, start int"
+
+
+def _windows(batches):
+    """Each window of the contexts ``wants`` of rows ``o, t, text, wants``, with its place and hash."""
+    for batch in batches:
+        lists = batch.column(3)
+        ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
+        flat = lists.flatten()
+        fp, start, place, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        for first, data, offsets in text_blocks(batch.column(2), 1 << 19):
+            words, at = word_hashes(data, offsets)
+            a, b = int(ends[first]), int(ends[first + len(offsets) - 1])
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(ends[first : first + len(offsets)]))
+            begin = at[row] + start[a:b]
+            starts, which = ranges(begin, begin + n[a:b] - 1)
+            step = starts - begin[which]
+            take = pa.array(first + row[which])
+            columns = [pa.array(fp[a:b][which]), pa.array((place[a:b][which] + step).astype(np.int32)), pa.array(signed(window_hashes(words, starts)))]
+            columns += [batch.column(0).take(take), batch.column(1).take(take), pa.array((start[a:b][which] + step).astype(np.int32))]
+            for i in range(0, max(len(starts), 1), 65536):
+                yield pa.RecordBatch.from_arrays([c[i : i + 65536] for c in columns], names=["fp", "place", "h", "o", "t", "start"])
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 class FingerprintIndex:
-    """Immutable runs ``fp, o, t`` of the documents seen so far, each sorted by fingerprint."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.runs: list[DataFrame] = []
-        self.texts: list[DataFrame] = []
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Append a batch ``o, t, text`` as a run; returns the fingerprints it shares with another document."""
-        run = docs.mapInArrow(_anchors, "o long, t long, fp long").repartition("fp").sortWithinPartitions("fp")
-        run = materialize(run, "run")
-        shared = run.groupBy("fp").agg(F.min("o").alias("a"), F.max("o").alias("b")).filter("a < b").select("fp")
-        for old in self.runs:  # a merge join with each sorted run
-            shared = shared.unionByName(run.select("fp").join(old.select("fp").hint("merge"), "fp", "left_semi"))
-        shared = materialize(shared.distinct(), "shared")
-        release(self.spark)
-        self.runs.append(run)
-        self.texts.append(docs)
-        if len(self.runs) >= FAN_IN:
-            self.compact()
-        return shared
+    """Runs and texts of the documents seen so far, in ``path``; the same path opens them again.
 
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        rows = self.runs[0]
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run)
-        merged = materialize(rows.repartition("fp").sortWithinPartitions("fp"), "run")
-        for run in self.runs:
-            discard(self.spark, run)
-        self.runs = [merged]
-
-    def repeats(self, shared: DataFrame, newest: int | None) -> DataFrame:
-        """Verify: ``o, t, spans`` of windows, in documents from ``newest`` on, that start in an earlier one."""
-        rows, texts = self.runs[0], self.texts[0]
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run)
-        for docs in self.texts[1:]:
-            texts = texts.unionByName(docs)
-        lists = rows.join(shared, "fp", "left_semi").groupBy(F.col("o").alias("_o"), F.col("t").alias("_t")).agg(F.collect_set("fp").alias("shared"))
-        lists = materialize(lists, "lists")
-        release(self.spark)
-        same = (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))
-        found = texts.join(lists, same).select("o", "t", "text", "shared").mapInArrow(_contexts, _CONTEXT)
-        found = materialize(found, "contexts")
-        discard(self.spark, lists)
-        release(self.spark)
-
-        new = F.lit(True) if newest is None else F.col("o") > newest
-        kinds = materialize(found.groupBy("fp", "digest").agg(F.min("o").alias("first"), F.max("o").alias("last")), "kinds")
-        several = kinds.groupBy(F.col("fp").alias("_f")).agg(F.count("*").alias("kinds"), F.min("first").alias("a"), F.max("first").alias("b"))
-        several = several.filter("kinds > 1 AND a < b").select("_f")
-        k = kinds.filter("first < last").select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), "first")
-        whole = found.withColumn("n", F.size("windows")).drop("windows", "place").filter(new)
-        whole = whole.join(k, (F.col("fp") == F.col("_f")) & (F.col("digest") == F.col("_d"))).filter(F.col("o") > F.col("first"))
-        spans = materialize(whole.select("o", "t", "start", "n"), "spans")
-        # Of each kind, its earliest document asks, and is evidence for the others.
-        k = kinds.join(several, F.col("fp") == F.col("_f"), "left_semi").select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), F.col("first"))
-        asks = found.join(k, (F.col("fp") == F.col("_f")) & (F.col("digest") == F.col("_d")) & (F.col("o") == F.col("first")))
-        each = asks.select("fp", "o", "t", "start", "place", F.posexplode("windows").alias("i", "h"))
-        each = each.select("fp", (F.col("place") + F.col("i")).alias("place"), "h", "o", "t", (F.col("start") + F.col("i")).alias("start"))
+    ``columns`` (name and type, DDL) are carried beside ``o, t, text``.  The number of buckets is
+    fixed when an index is made; it is part of the folders' names.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, columns: str = "", buckets: int | None = None):
+        self.spark, self.path = spark, path
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        old = [s.getPath().getName() for s in files.listStatus(hadoop)] if files.exists(hadoop) else []
+        made = next((int(x.removeprefix("runs-")) for x in old if x.startswith("runs-")), None)
+        self.buckets = made or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"attestra_{uuid.uuid4().hex}"
+        self.runs, self.docs = f"{name}_runs", f"{name}_docs"
+        self._make(self.runs, f"{_CONTEXT}, level int, run int", "level, run", "fp", "SORTED BY (fp)", f"{path}/runs-{self.buckets}", made)
+        self._make(self.docs, f"o long, t long, text string{', ' * bool(columns)}{columns}, batch int", "batch", "o, t", "", f"{path}/docs-{self.buckets}", made)
+
+    def _make(self, name: str, columns: str, parts: str, by: str, order: str, path: str, made: int | None) -> None:
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({parts}) CLUSTERED BY ({by}) {order} INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        if made:
+            self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+
+    def levels(self) -> list[tuple[int, int]]:
+        """``(level, run)`` of every run."""
+        rows = self.spark.sql(f"SHOW PARTITIONS {self.runs}").collect()
+        return sorted(tuple(int(x.split("=")[1]) for x in r[0].split("/")) for r in rows)
+
+    def close(self) -> None:
+        """Forget the tables; the files stay."""
+        for name in (self.runs, self.docs):
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Add documents ``o, t, text`` (and columns), all later than those before.
+
+        Returns ``o, t, spans`` of their windows that start in an earlier document.
+        """
+        spark = self.spark
+        levels = self.levels()
+        number = 1 + max((r for _, r in levels), default=0)
+        batch.withColumn("batch", F.lit(number)).repartition(self.buckets, "o", "t").write.insertInto(self.docs)
+        release(spark)
+        texts = spark.table(self.docs).filter(F.col("batch") == number)
+        found = materialize(texts.select("o", "t", "text").mapInArrow(_contexts, _CONTEXT), "contexts")
+        place = ["o", "t", "start", "place", "n"]
+        # A kind's copies meet in partial sums, so a hot passage moves one row a task.
+        kinds = found.groupBy("fp", "digest").agg(F.min(F.struct(*place)).alias("first"), F.max("o").alias("last"))
+        kinds = materialize(kinds.select("fp", "digest", *[F.col(f"first.{c}").alias(c) for c in place], "last"), "kinds")
+        # History stays in its buckets: a merge join with the batch's distinct fingerprints.
+        met = None
+        if levels:
+            fps = kinds.select("fp").distinct().repartition(self.buckets, "fp").hint("merge")
+            met = materialize(spark.table(self.runs).select("fp", "digest", *place, F.col("o").alias("last")).join(fps, "fp", "left_semi"), "met")
+            release(spark)
+        repeats = self._verify(found, kinds, met, texts)
+        kinds.select("fp", "digest", *place, F.lit(0).alias("level"), F.lit(number).alias("run")).repartition(self.buckets, "fp").write.insertInto(self.runs)
+        for done in (found, kinds, met):
+            if done is not None:
+                discard(spark, done)
+        self.compact()
+        release(spark)
+        return repeats
+
+    def _verify(self, found: DataFrame, kinds: DataFrame, met: DataFrame | None, texts: DataFrame) -> DataFrame:
+        spark = self.spark
+        place = ["o", "t", "start", "place", "n"]
+        every = kinds if met is None else kinds.unionByName(met)
+        every = every.groupBy("fp", "digest").agg(F.min(F.struct(*place)).alias("first"), F.max("last").alias("last"))
+        every = materialize(every.select("fp", "digest", F.col("first.o").alias("o0"), "first", "last"), "every")
+        same = (F.col("fp") == F.col("_f")) & (F.col("digest") == F.col("_d"))
+        k = every.filter("o0 < last").select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), "o0")
+        whole = found.join(k, same).filter(F.col("o") > F.col("o0")).select("o", "t", "start", "n")
+        # Fingerprints of several kinds, not all of one document: of each kind its earliest document
+        # asks, with all its places, if it is new, and one place of it is evidence for the others.
+        several = every.groupBy(F.col("fp").alias("_s")).agg(F.count("*").alias("kinds"), F.min("o0").alias("a"), F.max("o0").alias("b")).filter("kinds > 1 AND a < b").select("_s")
+        k = materialize(every.join(several, F.col("fp") == F.col("_s"), "left_semi"), "several")
+        asks = found.join(k.select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), "o0"), same).filter(F.col("o") == F.col("o0")).select("fp", *place)
+        if met is not None:
+            before = met.agg(F.max("o")).first()[0]
+            if before is not None:
+                asks = asks.unionByName(k.filter(F.col("o0") <= before).select("fp", *[F.col(f"first.{c}").alias(c) for c in place]))
+        lists = asks.groupBy(F.col("o").alias("_o"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("fp", "start", "place", "n")).alias("wants"))
+        lists = materialize(lists, "wants")
+        release(spark)
+        own = (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))
+        # Texts stay in their buckets; only the lists move.
+        each = spark.table(self.docs).join(lists.repartition(self.buckets, "_o", "_t").hint("merge"), own).select("o", "t", "text", "wants").mapInArrow(_windows, _WINDOW)
         each = materialize(each, "windows")
+        discard(spark, lists)
+        release(spark)
         firsts = each.groupBy("fp", "place", "h").agg(F.min("o").alias("first"), F.max("o").alias("last")).filter("first < last").drop("last")
-        single = each.filter(new).join(firsts, ["fp", "place", "h"]).filter(F.col("o") > F.col("first")).select("o", "t", "start", F.lit(1).alias("n"))
-        out = spans.unionByName(single).groupBy("o", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+        single = each.join(firsts, ["fp", "place", "h"]).filter(F.col("o") > F.col("first")).select("o", "t", "start", F.lit(1).alias("n"))
+        if met is not None and before is not None:
+            single = single.filter(F.col("o") > before)
+        out = whole.unionByName(single).groupBy("o", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
         out = materialize(out, "repeats")
-        for done in (found, kinds, spans, each):
-            discard(self.spark, done)
-        release(self.spark)
+        for done in (every, k, each):
+            discard(spark, done)
+        release(spark)
         return out
 
+    def compact(self) -> None:
+        """Merge runs while ``FAN_IN`` of them share a level: each kind keeps its earliest place."""
+        while True:
+            levels = self.levels()
+            full = next((at for at, _ in levels if sum(x == at for x, _ in levels) >= FAN_IN), None)
+            if full is None:
+                return
+            runs = [r for at, r in levels if at == full]
+            rows = self.spark.table(self.runs).filter((F.col("level") == full) & F.col("run").isin(runs))
+            place = ["o", "t", "start", "place", "n"]
+            # Buckets hold all rows of their fingerprints, so neither grouping nor writing moves a row.
+            merged = rows.groupBy("fp", "digest").agg(F.min(F.struct(*place)).alias("first"))
+            merged = merged.select("fp", "digest", *[F.col(f"first.{c}").alias(c) for c in place], F.lit(full + 1).alias("level"), F.lit(max(runs)).alias("run"))
+            merged.write.insertInto(self.runs)
+            for run in runs:
+                self.spark.sql(f"ALTER TABLE {self.runs} DROP PARTITION (level = {full}, run = {run})")
+                remove(self.spark, f"{self.path}/runs-{self.buckets}/level={full}/run={run}")
+
 
 def _trim(batches, names):
     """Cut the words of the windows in ``spans`` (first window, number of windows) out of each text."""
@@ -195,28 +252,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", bat
     A word goes if a window of 13 words that covers it also starts in a document with a smaller
     key.  A null key counts as larger than all others; rows of equal keys do not cover each other.
     Null texts have no words.  Kept words are joined by one space.  Added names that clash with
-    kept columns get a leading underscore.
+    kept columns get a leading underscore.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    keys = _keys(docs, key, text)
-    keyed = docs.select(*keys, F.col(text).cast("string").alias("text"))
+    ins = [F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)]
+    keyed = docs.select(*_keys(docs, key, text), F.col(text).cast("string").alias("text"), *ins)
     cuts = [k / batches for k in range(1, batches)]
     marks = keyed.select(F.percentile_approx("o", F.array(*map(F.lit, cuts)))).first()[0] if cuts else []
     marks = sorted(set(marks or []))
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, scratch_path(spark, "index"), _ddl(keyed.select([f"in_{i}" for i in range(len(keep))])))
     found = None
     for low, high in zip([None, *marks], [*marks, None], strict=True):
         batch = keyed
         batch = batch if low is None else batch.filter(F.col("o") > low)
         batch = batch if high is None else batch.filter(F.col("o") <= high)
-        repeats = index.repeats(index.add(batch), low)
+        repeats = index.add(batch)
         found = repeats if found is None else found.unionByName(repeats)
-    for run in index.runs:
-        discard(spark, run)
-    ins = [F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*keys, *ins, F.col(text).cast("string").alias("text"))
-    rows = rows.join(found.withColumnsRenamed({"o": "_o", "t": "_t"}), (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t")), "left")
+    remove(spark, f"{index.path}/runs-{index.buckets}")
+    found = found.withColumnsRenamed({"o": "_o", "t": "_t"}).repartition(index.buckets, "_o", "_t").hint("merge")
+    rows = spark.table(index.docs).join(found, (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t")), "left")
     out = free_name(docs.select(*keep), "kept_text", "n_words", "n_removed")
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.LongType())])
     return rows.select(*[f"in_{i}" for i in range(len(keep))], "text", "spans").mapInArrow(lambda it: _trim(it, schema.names), schema)

@@ -69,11 +69,24 @@ def test_windows_with_repeated_keys(spark):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()), key=repr) == brute_words(rows)
 
 
-def test_index_compacts(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "FAN_IN", 2)
+def test_index_compacts_and_opens_again(spark, tmp_path):
     rows = shared_rows(16)
-    got = substrings.remove_repeats(docs(spark, rows), batches=4, keep=["doc_id"])
-    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()), key=repr) == brute_words(rows)
+    d = docs(spark, rows).select(F.col("doc_id").alias("o"), F.lit(0).cast("long").alias("t"), "text")
+    path, spans = f"file://{tmp_path}/index", {}
+    for at, (low, high) in enumerate([(0, 4), (4, 8), (8, 13), (13, 1000)]):
+        index = substrings.FingerprintIndex(spark, path, buckets=3 if at == 0 else None)
+        for r in index.add(d.filter(F.col("o").between(low, high - 1))).collect():
+            spans[r["o"]] = r["spans"]
+        assert index.buckets == 3 and index.levels() == [[(0, 1)], [(1, 2)], [(0, 3), (1, 2)], [(2, 4)]][at]
+        if at == 2:
+            keys = d.select(F.col("o").alias("fp")).repartition(3, "fp").hint("merge")
+            plan = spark.table(index.runs).select("fp").join(keys, "fp", "left_semi")._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and plan.count("Exchange") == 1  # the batch's keys; runs stay in their buckets
+        index.close()
+    want = {i: n for i, _, n, _ in brute_words(rows)}
+    for i, t, _ in rows:
+        gone = {w for s in spans.get(i, []) for w in range(s["start"], s["start"] + s["n"] + 12)}
+        assert len(gone) == want[i], i
 
 
 def test_windows_empty_and_names(spark):
