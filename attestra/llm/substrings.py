@@ -55,12 +55,20 @@ def window_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-_CONTEXT = "fp long, digest long, o long, t long, start int, place int, n int"
+#: A context's first window, its place against the anchor (0 to -12) and its windows (13 at most), in one long.
+_PLACE, _START = 256, 65536
+_CONTEXT = "fp long, digest long, o long, t long, at long"
+_KIND = ["fp", "digest", "o", "t", "at", "more"]
+
+
+def _first() -> list[Column]:
+    """A kind's earliest place; aggregates of numbers need no sort."""
+    return [F.min("o").alias("o"), F.min_by("t", "o").alias("t"), F.min_by("at", "o").alias("at")]
 
 
 def _contexts(batches):
     """All contexts of rows ``o, t, text``: first window, its place against the anchor, windows."""
-    names = ["fp", "digest", "o", "t", "start", "place", "n"]
+    names = ["fp", "digest", "o", "t", "at"]
     for batch in batches:
         for first, data, offsets in text_blocks(batch.column(2), 1 << 19):
             words, at = word_hashes(data, offsets)
@@ -71,21 +79,22 @@ def _contexts(batches):
             np.add.at(digest, which, mix(window_hashes(words, starts) + (starts - anchor[which]).astype(np.uint64)))
             take = pa.array(first + row)
             columns = [pa.array(signed(grams[anchor])), pa.array(signed(mix(digest))), batch.column(0).take(take), batch.column(1).take(take)]
-            columns += [pa.array(x.astype(np.int32)) for x in (lo - at[row], lo - anchor, hi - lo + 1)]
+            columns.append(pa.array((lo - at[row]) * _START + (anchor - lo) * _PLACE + hi - lo + 1))
             for i in range(0, max(len(row), 1), 65536):
                 yield pa.RecordBatch.from_arrays([c[i : i + 65536] for c in columns], names=names)
 
 
-_WINDOW = "fp long, place int, h long, o long, t long, start int"
+_WINDOW = "fp long, place int, h long, o long, t long, start int, new boolean"
 
 
 def _windows(batches):
-    """Each window of the contexts ``wants`` of rows ``o, t, text, wants``, with its place and hash."""
+    """Each window of the contexts ``wants`` of rows ``o, t, text, wants, new``, with its place and hash."""
     for batch in batches:
         lists = batch.column(3)
         ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
         flat = lists.flatten()
-        fp, start, place, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        fp, packed = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        start, place, n = packed // _START, -(packed % _START // _PLACE), packed % _PLACE
         for first, data, offsets in text_blocks(batch.column(2), 1 << 19):
             words, at = word_hashes(data, offsets)
             a, b = int(ends[first]), int(ends[first + len(offsets) - 1])
@@ -95,9 +104,9 @@ def _windows(batches):
             step = starts - begin[which]
             take = pa.array(first + row[which])
             columns = [pa.array(fp[a:b][which]), pa.array((place[a:b][which] + step).astype(np.int32)), pa.array(signed(window_hashes(words, starts)))]
-            columns += [batch.column(0).take(take), batch.column(1).take(take), pa.array((start[a:b][which] + step).astype(np.int32))]
+            columns += [batch.column(0).take(take), batch.column(1).take(take), pa.array((start[a:b][which] + step).astype(np.int32)), batch.column(4).take(take)]
             for i in range(0, max(len(starts), 1), 65536):
-                yield pa.RecordBatch.from_arrays([c[i : i + 65536] for c in columns], names=["fp", "place", "h", "o", "t", "start"])
+                yield pa.RecordBatch.from_arrays([c[i : i + 65536] for c in columns], names=["fp", "place", "h", "o", "t", "start", "new"])
 
 
 def _ddl(df: DataFrame) -> str:
@@ -120,7 +129,7 @@ class FingerprintIndex:
         self.buckets = made or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"attestra_{uuid.uuid4().hex}"
         self.runs, self.docs = f"{name}_runs", f"{name}_docs"
-        self._make(self.runs, f"{_CONTEXT}, level int, run int", "level, run", "fp", "SORTED BY (fp)", f"{path}/runs-{self.buckets}", made)
+        self._make(self.runs, f"{_CONTEXT}, more boolean, level int, run int", "level, run", "fp", "SORTED BY (fp)", f"{path}/runs-{self.buckets}", made)
         self._make(self.docs, f"o long, t long, text string{', ' * bool(columns)}{columns}, batch int", "batch", "o, t", "", f"{path}/docs-{self.buckets}", made)
 
     def _make(self, name: str, columns: str, parts: str, by: str, order: str, path: str, made: int | None) -> None:
@@ -144,65 +153,58 @@ class FingerprintIndex:
         Returns ``o, t, spans`` of their windows that start in an earlier document.
         """
         spark = self.spark
-        levels = self.levels()
-        number = 1 + max((r for _, r in levels), default=0)
+        number = 1 + max((r for _, r in self.levels()), default=0)
         batch.withColumn("batch", F.lit(number)).repartition(self.buckets, "o", "t").write.insertInto(self.docs)
         release(spark)
         texts = spark.table(self.docs).filter(F.col("batch") == number)
         found = materialize(texts.select("o", "t", "text").mapInArrow(_contexts, _CONTEXT), "contexts")
-        place = ["o", "t", "start", "place", "n"]
         # A kind's copies meet in partial sums, so a hot passage moves one row a task.
-        kinds = found.groupBy("fp", "digest").agg(F.min(F.struct(*place)).alias("first"), F.max("o").alias("last"))
-        kinds = materialize(kinds.select("fp", "digest", *[F.col(f"first.{c}").alias(c) for c in place], "last"), "kinds")
-        # History stays in its buckets: a merge join with the batch's distinct fingerprints.
-        met = None
-        if levels:
-            fps = kinds.select("fp").distinct().repartition(self.buckets, "fp").hint("merge")
-            met = materialize(spark.table(self.runs).select("fp", "digest", *place, F.col("o").alias("last")).join(fps, "fp", "left_semi"), "met")
-            release(spark)
-        repeats = self._verify(found, kinds, met, texts)
-        kinds.select("fp", "digest", *place, F.lit(0).alias("level"), F.lit(number).alias("run")).repartition(self.buckets, "fp").write.insertInto(self.runs)
-        for done in (found, kinds, met):
-            if done is not None:
-                discard(spark, done)
+        kinds = found.groupBy("fp", "digest").agg(*_first(), (F.max("o") > F.min("o")).alias("more"))
+        kinds.select(*_KIND, F.lit(0).alias("level"), F.lit(number).alias("run")).repartition(self.buckets, "fp").write.insertInto(self.runs)
+        release(spark)
+        repeats = self._verify(found, number)
         self.compact()
         release(spark)
         return repeats
 
-    def _verify(self, found: DataFrame, kinds: DataFrame, met: DataFrame | None, texts: DataFrame) -> DataFrame:
+    def _verify(self, found: DataFrame, number: int) -> DataFrame:
         spark = self.spark
-        place = ["o", "t", "start", "place", "n"]
-        every = kinds if met is None else kinds.unionByName(met)
-        every = every.groupBy("fp", "digest").agg(F.min(F.struct(*place)).alias("first"), F.max("last").alias("last"))
-        every = materialize(every.select("fp", "digest", F.col("first.o").alias("o0"), "first", "last"), "every")
-        same = (F.col("fp") == F.col("_f")) & (F.col("digest") == F.col("_d"))
-        k = every.filter("o0 < last").select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), "o0")
-        whole = found.join(k, same).filter(F.col("o") > F.col("o0")).select("o", "t", "start", "n")
+        # History and the new run lie in the same buckets: a merge join by fingerprint moves no row.
+        runs = spark.table(self.runs)
+        per = runs.groupBy("fp").agg(F.count("*").alias("rows"), F.min("o").alias("a"), F.max("o").alias("b"), F.max("run").alias("newest"), F.max("more").alias("more"))
+        per = per.filter((F.col("newest") == number) & ((F.col("rows") > 1) & (F.col("a") < F.col("b")) | F.col("more"))).select("fp")
+        met = runs.join(per.hint("merge"), "fp", "left_semi")
+        every = met.groupBy("fp", "digest").agg(*_first(), F.max(F.when(F.col("run") < number, F.lit(True)).otherwise(False)).alias("old"), (F.max("more") | (F.max("o") > F.min("o"))).alias("more"))
+        every = materialize(every, "every")
         # Fingerprints of several kinds, not all of one document: of each kind its earliest document
         # asks, with all its places, if it is new, and one place of it is evidence for the others.
-        several = every.groupBy(F.col("fp").alias("_s")).agg(F.count("*").alias("kinds"), F.min("o0").alias("a"), F.max("o0").alias("b")).filter("kinds > 1 AND a < b").select("_s")
-        k = materialize(every.join(several, F.col("fp") == F.col("_s"), "left_semi"), "several")
-        asks = found.join(k.select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), "o0"), same).filter(F.col("o") == F.col("o0")).select("fp", *place)
-        if met is not None:
-            before = met.agg(F.max("o")).first()[0]
-            if before is not None:
-                asks = asks.unionByName(k.filter(F.col("o0") <= before).select("fp", *[F.col(f"first.{c}").alias(c) for c in place]))
-        lists = asks.groupBy(F.col("o").alias("_o"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("fp", "start", "place", "n")).alias("wants"))
+        several = every.groupBy(F.col("fp").alias("_s")).agg(F.count("*").alias("kinds"), F.min("o").alias("a"), F.max("o").alias("b")).filter("kinds > 1 AND a < b").select("_s")
+        k = every.join(several, F.col("fp") == F.col("_s"), "left").withColumn("several", F.col("_s").isNotNull()).filter("several OR more")
+        k = materialize(k.select("fp", "digest", "o", "t", "at", "old", "several"), "several")
+        discard(spark, every)
+        kk = k.select(F.col("fp").alias("_f"), F.col("digest").alias("_d"), F.col("o").alias("o0"), "several")
+        hits = found.join(kk, (F.col("fp") == F.col("_f")) & (F.col("digest") == F.col("_d"))).filter("o > o0 OR o = o0 AND several")
+        hits = materialize(hits.select("fp", "o", "t", "at", (F.col("o") > F.col("o0")).alias("gone")), "hits")
+        discard(spark, found)
+        release(spark)
+        evidence = k.filter("several AND old").select("fp", "o", "t", "at", F.lit(False).alias("new"))
+        asks = hits.filter("NOT gone").select("fp", "o", "t", "at", F.lit(True).alias("new")).unionByName(evidence)
+        lists = asks.groupBy(F.col("o").alias("_o"), F.col("t").alias("_t")).agg(F.max("new").alias("new"), F.collect_list(F.struct("fp", "at")).alias("wants"))
         lists = materialize(lists, "wants")
+        discard(spark, k)
         release(spark)
         own = (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))
         # Texts stay in their buckets; only the lists move.
-        each = spark.table(self.docs).join(lists.repartition(self.buckets, "_o", "_t").hint("merge"), own).select("o", "t", "text", "wants").mapInArrow(_windows, _WINDOW)
+        each = spark.table(self.docs).join(lists.repartition(self.buckets, "_o", "_t").hint("merge"), own).select("o", "t", "text", "wants", "new").mapInArrow(_windows, _WINDOW)
         each = materialize(each, "windows")
         discard(spark, lists)
         release(spark)
         firsts = each.groupBy("fp", "place", "h").agg(F.min("o").alias("first"), F.max("o").alias("last")).filter("first < last").drop("last")
-        single = each.join(firsts, ["fp", "place", "h"]).filter(F.col("o") > F.col("first")).select("o", "t", "start", F.lit(1).alias("n"))
-        if met is not None and before is not None:
-            single = single.filter(F.col("o") > before)
+        single = each.filter("new").join(firsts, ["fp", "place", "h"]).filter(F.col("o") > F.col("first")).select("o", "t", "start", F.lit(1).alias("n"))
+        whole = hits.filter("gone").select("o", "t", F.expr(f"cast(at div {_START} as int)").alias("start"), F.expr(f"cast(at % {_PLACE} as int)").alias("n"))
         out = whole.unionByName(single).groupBy("o", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
         out = materialize(out, "repeats")
-        for done in (every, k, each):
+        for done in (hits, each):
             discard(spark, done)
         release(spark)
         return out
@@ -216,10 +218,9 @@ class FingerprintIndex:
                 return
             runs = [r for at, r in levels if at == full]
             rows = self.spark.table(self.runs).filter((F.col("level") == full) & F.col("run").isin(runs))
-            place = ["o", "t", "start", "place", "n"]
             # Buckets hold all rows of their fingerprints, so neither grouping nor writing moves a row.
-            merged = rows.groupBy("fp", "digest").agg(F.min(F.struct(*place)).alias("first"))
-            merged = merged.select("fp", "digest", *[F.col(f"first.{c}").alias(c) for c in place], F.lit(full + 1).alias("level"), F.lit(max(runs)).alias("run"))
+            merged = rows.groupBy("fp", "digest").agg(*_first(), (F.max("more") | (F.max("o") > F.min("o"))).alias("more"))
+            merged = merged.select(*_KIND, F.lit(full + 1).alias("level"), F.lit(max(runs)).alias("run"))
             merged.write.insertInto(self.runs)
             for run in runs:
                 self.spark.sql(f"ALTER TABLE {self.runs} DROP PARTITION (level = {full}, run = {run})")
