@@ -47,7 +47,7 @@ def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df = df if parts is None else df.coalesce(parts)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -373,6 +373,16 @@ def _similar(batches):
 BROADCAST_DOCS = 200_000
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` (written, a few longs a row), to be broadcast if it is counted small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_DOCS else df
+
+
+def _parts(rows: int) -> int:
+    """Files for a table of so many rows: rounds are many and their tables mostly small."""
+    return max(12, rows // ROUND_ROWS)
+
+
 class Sets:
     """Shingle sets of classes, computed from one document's text of each when first wanted."""
 
@@ -386,27 +396,40 @@ class Sets:
             new = new.join(self.known.select("c"), "c", "left_anti")
         at = self.classes.join(new, "c").select("c", F.col("d.o").alias("_o"), F.col("d.t").alias("_t"))
         at = materialize(at, "wanted")
-        n = at.count()
-        if n:
-            at = F.broadcast(at) if n <= BROADCAST_DOCS else at
-            rows = self.plain.join(at, (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))).select("c", "text").mapInArrow(_set_rows, "c long, items binary")
+        if at.count():
+            rows = self.plain.join(_few(at), (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))).select("c", "text").mapInArrow(_set_rows, "c long, items binary")
             rows = materialize(rows.dropDuplicates(["c"]), "sets")
+            discard(rows.sparkSession, at)
             self.known = rows if self.known is None else self.known.unionByName(rows)
         return self.known
 
-    def verify(self, pairs: DataFrame, parts: int) -> DataFrame:
-        """Those of ``pairs (a, b)`` whose sets are similar enough: by bitmaps first, then exactly."""
-        x = self.classes.select(F.col("c").alias("_a"), F.col("bits").alias("x"), F.col("n"))
-        y = self.classes.select(F.col("c").alias("_b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs (a, b)`` whose sets are similar enough: by bitmaps first, then exactly.
+
+        Only the bitmaps and sets of classes that some pair names are moved.
+        """
+        spark = pairs.sparkSession
+
+        def ends(pairs: DataFrame, of: DataFrame) -> DataFrame:
+            nodes = materialize(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), "nodes", parts)
+            return of.join(_few(nodes), "c", "left_semi")
+
+        parts = _parts(pairs.count())
+        some = ends(pairs, self.classes.select("c", "bits", "n"))
+        x = some.select(F.col("c").alias("_a"), F.col("bits").alias("x"), F.col("n"))
+        y = some.select(F.col("c").alias("_b"), F.col("bits").alias("y"), F.col("n").alias("m"))
         near = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "x", "y", "n", "m")
         near = materialize(near.mapInArrow(_plausible, "a long, b long"), "plausible", parts)
         if near.isEmpty():
             return near
         sets = self.fetch(near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))))
-        x = sets.select(F.col("c").alias("_a"), F.col("items").alias("x"))
-        y = sets.select(F.col("c").alias("_b"), F.col("items").alias("y"))
+        some = ends(near, sets)
+        x = some.select(F.col("c").alias("_a"), F.col("items").alias("x"))
+        y = some.select(F.col("c").alias("_b"), F.col("items").alias("y"))
         full = near.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
-        return materialize(full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links", parts)
+        links = materialize(full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links", parts)
+        discard(spark, near)
+        return links
 
 
 def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -426,9 +449,8 @@ def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: Dat
     near = (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n")) & (7 * apart <= F.col("n") + F.col("_n"))
     done = None  # pairs compared so far
     turn = 0
-    # Rounds are many and their tables narrow: a file per ``ROUND_ROWS`` rows, not per shuffle partition.
-    parts = max(12, groups.count() // ROUND_ROWS)
     while True:
+        parts = _parts(groups.count())
         lead = LEADERS[min(turn, len(LEADERS) - 1)]
         turn += 1
         if labels is None:
@@ -447,14 +469,14 @@ def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: Dat
         may = active if turn == 1 else active.filter("k != base")
         leaders = may.withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy("c"))).filter(F.col("_r") <= lead)
         leaders = materialize(leaders.select("g", "c", "k"), "leaders", parts)
-        left = leaders.join(facts, F.col("c") == F.col("_c")).select(F.col("g").alias("_g"), F.col("c").alias("_c"), F.col("k").alias("_k"), F.col("n").alias("_n"), *[F.col(b).alias(f"_{b}") for b in _SKETCH])
-        right = active.select("g", "c", "k").join(facts, F.col("c") == F.col("_c")).drop("_c")
+        left = _few(leaders).join(facts, F.col("c") == F.col("_c")).select(F.col("g").alias("_g"), F.col("c").alias("_c"), F.col("k").alias("_k"), F.col("n").alias("_n"), *[F.col(b).alias(f"_{b}") for b in _SKETCH])
+        right = _few(active.select("g", "c", "k")).join(facts, F.col("c") == F.col("_c")).drop("_c")
         met = right.join(left, (F.col("g") == F.col("_g")) & (F.col("k") != F.col("_k")) & near)
         pairs = met.select(F.least("c", "_c").alias("a"), F.greatest("c", "_c").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs", parts)
-        found = sets.verify(pairs, parts)
+        pairs = materialize(pairs, "pairs", _parts(active.count() * min(lead, 32)))
+        found = sets.verify(pairs)
         done = pairs if done is None else done.unionByName(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)

@@ -133,7 +133,7 @@ class FingerprintIndex:
         self._make(self.docs, f"o long, t long, text string{', ' * bool(columns)}{columns}, batch int", "batch", "o, t", "", f"{path}/docs-{self.buckets}", made)
 
     def _make(self, name: str, columns: str, parts: str, by: str, order: str, path: str, made: int | None) -> None:
-        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({parts}) CLUSTERED BY ({by}) {order} INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY ({parts}) CLUSTERED BY ({by}) {order} INTO {self.buckets} BUCKETS LOCATION '{path}'")
         if made:
             self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
 
