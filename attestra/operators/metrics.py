@@ -106,8 +106,14 @@ def label_distribution(rows: DataFrame, label: str) -> DataFrame:
     return rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("rows"))
 
 
-def validate(rows: DataFrame, required: list[str], key: str) -> dict:
-    """Missing columns and repeated keys; the row counts are one aggregate each."""
+def validate(rows: DataFrame, required: list[str], key: str, most: int = 10_000) -> dict:
+    """Missing columns and repeated keys; the row counts are one aggregate each.
+
+    More than ``most`` repeated keys are a table (``duplicate_keys``), not a report: an error.
+    """
     missing = sorted(set(required) - set(rows.columns))
-    repeated = {r["key"]: r["times"] for r in duplicate_keys(rows, key).limit(1000).collect()} if key in rows.columns else {}
+    got = duplicate_keys(rows, key).limit(most + 1).collect() if key in rows.columns else []
+    if len(got) > most:
+        raise ValueError(f"more than {most} values of {key!r} are repeated; use duplicate_keys for all of them")
+    repeated = {r["key"]: r["times"] for r in got}
     return {"rows": rows.count(), "missing_columns": missing, "duplicate_keys": repeated}

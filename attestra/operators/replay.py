@@ -164,11 +164,13 @@ def merge_corpora(pages: DataFrame) -> DataFrame:
 
     Of pages with one URL the longest text stays, the first of equals by (file, attempt, page).
     Attempts are renumbered by (layer, query), pages by URL; pages without URL go, and attempts that
-    lose all pages keep a row.  Gold value and place come from the first file that has the episode.
+    lose all pages keep a row.  Gold value and place come from the first file that has the episode, and the final decision
+    from the first that has one.
     """
     url = N.strip(N.text(F.col("url")))
     order = F.struct("file", "attempt", "page")
-    head = pages.groupBy(*EPISODE).agg(F.min_by(F.struct("gold_value", "place"), order).alias("h"))
+    decided = [F.min_by("final_decision", F.when(F.col("final_decision").isNotNull(), order)).alias("final_decision")] if "final_decision" in pages.columns else []
+    head = pages.groupBy(*EPISODE).agg(F.min_by(F.struct("gold_value", "place"), order).alias("h"), *decided)
     tries = pages.filter("attempt IS NOT NULL").select(*EPISODE, "layer", "query").distinct()
     number = Window.partitionBy(*EPISODE).orderBy("layer", "query")
     tries = tries.withColumn("attempt", F.row_number().over(number) - 1)
@@ -177,7 +179,7 @@ def merge_corpora(pages: DataFrame) -> DataFrame:
     nth = Window.partitionBy(*EPISODE, "layer", "query").orderBy("_u")
     kept = kept.withColumn("page", F.row_number().over(nth) - 1).drop("_u")
     full = head.join(tries, EPISODE, "left").join(kept, [*EPISODE, "layer", "query"], "left")
-    return full.select(*EPISODE, "h.*", "attempt", "layer", "query", "page", "v.*")
+    return full.select(*EPISODE, "h.*", *["final_decision"][: len(decided)], "attempt", "layer", "query", "page", "v.*")
 
 
 def evidence_of(pages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import authority as A
 from ..functions import normalize as N
 from ..functions import pagetext as P
-from ..operators import context, labels, matching, metrics, policies, queryplan, replay, rerank, resolver, synthetic
+from ..operators import context, labels, matching, metrics, policies, prior, queryplan, replay, rerank, resolver, synthetic
 from ..sources import readers
 from . import fixtures, oracles
 from .fixtures import table
@@ -82,10 +82,10 @@ def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "review_rows",
-    f"WITH p AS ({oracles._PAIRS}) SELECT ordinal, id, base_id, " + ", ".join(f"{x}{a}" for a in N.ATTRIBUTES for x in ("", "base_")) + ", " + ", ".join(f"{a} <> base_{a} AS {a}_differs" for a in N.ATTRIBUTES) + " FROM p WHERE ordinal BETWEEN 10 AND 509",
+    f"WITH p AS ({oracles._PAIRS}) SELECT ordinal, id, base_id, " + ", ".join(f"{x}{a}" for a in N.ATTRIBUTES for x in ("", "base_")) + ", " + ", ".join(f"{a} <> base_{a} AS {a}_differs" for a in N.ATTRIBUTES) + " FROM p",
 )
 def review_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A slice of raw JSON pairs, flattened."""
+    """Raw JSON pairs, flattened."""
     p = fixtures.pairs(spark, sf)
     raw = {"id": F.col("id"), "base_id": F.col("base_id"), "ordinal": F.col("ordinal"), "confidence": F.col("confidence"), "base_confidence": F.col("base_confidence")}
     for side in ("", "base_"):
@@ -94,7 +94,7 @@ def review_rows(spark: SparkSession, sf: str) -> DataFrame:
         raw[f"{side}addresses"] = F.to_json(F.array(F.struct(F.col(f"{side}address").alias("freeform"))))
         raw[f"{side}names"] = F.to_json(F.struct(F.col(f"{side}name").alias("primary")))
         raw[f"{side}categories"] = F.to_json(F.struct(F.col(f"{side}category").alias("primary")))
-    return readers.review_rows(p.select(*[c.alias(n) for n, c in raw.items()]), limit=500, offset=10).drop("confidence", "base_confidence")
+    return readers.review_rows(p.select(*[c.alias(n) for n, c in raw.items()])).drop("confidence", "base_confidence")
 
 
 def _baseline(which: str) -> Query:
@@ -139,19 +139,19 @@ def agreement_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "label_join",
-    f"WITH p AS ({oracles._PAIRS}), l AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN concat('cur-', p_partkey) ELSE '' END AS id, concat('base-', p_partkey) AS base_id FROM part WHERE p_partkey % 3 <> 0) "
+    f"WITH p AS ({oracles._PAIRS}), l AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN concat('cur-', p_partkey) ELSE '' END AS id, concat('base-', p_partkey) AS base_id FROM part) "
     "SELECT l.id AS label_id, l.base_id AS label_base, p.id AS pair FROM l JOIN p ON CASE WHEN l.id <> '' THEN l.id = p.id ELSE l.base_id = p.base_id END",
 )
 def label_join(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
-    made = table(spark, sf, "part").filter(k % 3 != 0).select(F.when(k % 2 == 0, F.concat(F.lit("cur-"), k.cast("string"))).otherwise("").alias("id"), F.concat(F.lit("base-"), k.cast("string")).alias("base_id"))
+    made = table(spark, sf, "part").select(F.when(k % 2 == 0, F.concat(F.lit("cur-"), k.cast("string"))).otherwise("").alias("id"), F.concat(F.lit("base-"), k.cast("string")).alias("base_id"))
     out = policies.label_pairs(fixtures.pairs(spark, sf), made)
     return out.select(F.col("id").alias("label_id"), F.col("base_id").alias("label_base"), F.col("pair.id").alias("pair"))
 
 
 @query(
     "positional_labels",
-    f"WITH p AS ({oracles._PAIRS}), g AS (SELECT p_partkey AS i, lower(p_name) AS gn, concat('831555', lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0')) AS gp FROM part WHERE p_partkey % 2 = 0) SELECT id, base_id, "
+    f"WITH p AS ({oracles._PAIRS}), g AS (SELECT p_partkey AS i, lower(p_name) AS gn, concat('831555', lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0')) AS gp FROM part) SELECT id, base_id, "
     + ", ".join(
         f"CASE WHEN {f('g.' + g)} = {f('p.' + a)} AND {f('g.' + g)} = {f('p.base_' + a)} THEN 'same' WHEN {f('g.' + g)} = {f('p.' + a)} THEN 'current' WHEN {f('g.' + g)} = {f('p.base_' + a)} THEN 'base' ELSE '' END AS {a}_truth_choice, "
         f"CASE WHEN {f('g.' + g)} IN ({f('p.' + a)}, {f('p.base_' + a)}) THEN '' ELSE g.{g} END AS {a}_truth_value"
@@ -162,7 +162,7 @@ def label_join(spark: SparkSession, sf: str) -> DataFrame:
 def positional_labels(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     blank = [F.lit("").alias(a) for a in ("website", "address", "category")]
-    golden = table(spark, sf, "part").filter(k % 2 == 0).select(k.cast("string").alias("sample_idx"), F.lower("p_name").alias("name"), F.concat(F.lit("831555"), F.lpad((k % 10000).cast("string"), 4, "0")).alias("phone"), *blank)
+    golden = table(spark, sf, "part").select(k.cast("string").alias("sample_idx"), F.lower("p_name").alias("name"), F.concat(F.lit("831555"), F.lpad((k % 10000).cast("string"), 4, "0")).alias("phone"), *blank)
     out = labels.positional_labels(fixtures.pairs(spark, sf), golden)
     return out.select("id", "base_id", *[f"{a}_truth_{x}" for a in ("name", "phone") for x in ("choice", "value")])
 
@@ -674,3 +674,124 @@ def priority_model(spark: SparkSession, sf: str) -> DataFrame:
     queue = _queue(spark, sf)
     hits = queue.filter("layer = 'official' AND position < 2").select("id", "attribute", "layer", "query")
     return rerank.train(rerank.balanced_queue(queue, hits), epochs=2, learning_rate=0.12, l2=0.001).select("key", "bias", F.map_keys("weights").alias("features"))
+
+
+# ------------------------------------------------------------------ prior results and the replay benchmark
+
+
+@query(
+    "prior_canonical",
+    f"WITH p AS ({oracles._PAIRS}) SELECT id, "
+    + ", ".join(
+        f"truth_choice AS {a}_truth, {a} AS {a}_truth_value, base_{a} AS {a}_prediction, CASE WHEN base_{a} <> '' THEN '1.0' ELSE '0.0' END AS {a}_confidence" for a in N.ATTRIBUTES
+    )
+    + " FROM p",
+)
+def prior_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    p = fixtures.pairs(spark, sf)
+    each = lambda **columns: F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), *[f(a).alias(n) for n, f in columns.items()]) for a in N.ATTRIBUTES]))
+    truth = p.select("id", each(source=lambda a: F.col("truth_choice"), value=F.col).alias("x")).select("id", "x.*")
+    said = p.select("id", "ordinal", each(prediction=lambda a: F.col(f"base_{a}")).alias("x")).select("id", "ordinal", "x.*")
+    return prior.canonical_rows(truth, said)
+
+
+@query("website_accuracy", f"WITH p AS ({oracles._PAIRS}) SELECT round(avg((rtrim(website, '/') = base_website)::INT), 9) AS website_accuracy, count(*) AS website_rows FROM p")
+def website_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    p = fixtures.pairs(spark, sf).select(F.lit("website").alias("attribute"), F.rtrim("website", F.lit("/")).alias("predicted_value"), F.col("base_website").alias("truth_value"))
+    return _round(prior.website_accuracy(p), "website_accuracy")
+
+
+@query(
+    "golden_values",
+    "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('831-', p_partkey) END AS phone, concat(p_size, ' Main St') AS address, p_type AS category, concat('https://', p_partkey, '.example.com') AS website FROM part",
+)
+def golden_values(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    text = lambda pattern, *cs: F.format_string(pattern, *cs)
+    odd = F.col("p_partkey") % 2 == 1
+    raw = table(spark, sf, "part").select(
+        "p_partkey",
+        F.when(odd, text("{'primary': '%s', 'alternate': None}", F.col("p_name"))).otherwise(text('{"primary": "%s"}', F.col("p_name"))).alias("names"),
+        F.when(F.col("p_partkey") % 3 == 0, "['', None]").otherwise(text("['', '831-%s']", k)).alias("phones"),
+        text("[{'freeform': None}, {'freeform': '%s Main St'}]", F.col("p_size").cast("string")).alias("addresses"),
+        F.col("p_type").alias("categories"),
+        text('["https://%s.example.com"]', k).alias("websites"),
+    )
+    return raw.select("p_partkey", *[prior.golden_value(a, F.col(c)).alias(a) for a, c in prior.GOLDEN_COLUMNS.items()])
+
+
+def _benchmark_sql() -> str:
+    value = "coalesce(extracted_value, '')"
+    sql = oracles.resolve().replace(oracles._EVALUE, value)
+    return sql + f""", f AS (SELECT *, CASE WHEN abstained THEN '' ELSE value END AS prediction FROM d),
+ b AS (SELECT case_id, attribute, abstained, prediction, prediction <> '' AND gold_value <> '' AND {oracles.norm('attribute', 'prediction')} = {oracles.norm('attribute', 'gold_value')} AS correct FROM f)"""
+
+
+@query("benchmark_rows", _benchmark_sql() + ", n AS (SELECT case_id, attribute, count(*) FILTER (extracted_value <> '') AS evidence_items FROM e GROUP BY ALL) SELECT b.*, evidence_items FROM b JOIN n USING (case_id, attribute)")
+def benchmark_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return prior.benchmark_rows(fixtures.evidence(spark, sf)).select("case_id", "attribute", "prediction", "correct", "abstained", "evidence_items")
+
+
+@query(
+    "benchmark_summary",
+    _benchmark_sql()
+    + """, c AS (SELECT count(*) AS episodes, count(*) FILTER (NOT abstained) AS attempted, count(*) FILTER (NOT abstained AND correct) AS ok, count(*) FILTER (attribute = 'website') AS website_episodes,
+  count(*) FILTER (attribute = 'website' AND NOT abstained) AS website_attempted, count(*) FILTER (attribute = 'website' AND NOT abstained AND correct) AS wok FROM b)
+ SELECT episodes, attempted, episodes - attempted AS abstained, round(coalesce(attempted / nullif(episodes, 0)::DOUBLE, 0), 9) AS coverage, round(coalesce(ok / nullif(attempted, 0)::DOUBLE, 0), 9) AS accuracy_when_attempted,
+  round(coalesce(ok / nullif(episodes, 0)::DOUBLE, 0), 9) AS end_to_end_accuracy, website_episodes, website_attempted, round(coalesce(wok / nullif(website_attempted, 0)::DOUBLE, 0), 9) AS website_accuracy_when_attempted FROM c""",
+)
+def benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(prior.benchmark_summary(prior.benchmark_rows(fixtures.evidence(spark, sf))), "coverage", "accuracy_when_attempted", "end_to_end_accuracy", "website_accuracy_when_attempted")
+
+
+@query(
+    "measured_weights",
+    "WITH w AS (SELECT avg(l_discount) FILTER (l_linenumber = 1) AS w, avg(l_tax) FILTER (l_linenumber = 2) AS c FROM lineitem), "
+    "v AS (SELECT CASE WHEN w > 0 THEN w ELSE 1.0 END AS w, CASE WHEN c > 0 THEN c ELSE least(w, 0.75) END AS c FROM w) "
+    "SELECT 'website' AS attribute, round(w::DOUBLE, 7) AS weight FROM v UNION ALL SELECT 'category', round(c::DOUBLE, 7) FROM v UNION ALL SELECT 'name', 0.0::DOUBLE",
+)
+def measured_weights(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    plans = table(spark, sf, "lineitem").select(F.when(n == 1, "website").when(n == 2, "category").otherwise("name").alias("attribute"), F.when(n == 1, F.col("l_discount")).otherwise(F.col("l_tax")).cast("double").alias("authority_coverage"))
+    return _round(prior.measured_weights(plans), "weight", places=7)
+
+
+@query(
+    "evidence_template",
+    f"WITH e AS ({oracles._EVIDENCE}), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, attribute ORDER BY {oracles.look_up('layer', queryplan.LAYER_ORDER, 99)}, query) AS rn FROM e) "
+    "SELECT case_id, attribute, layer, query, '' AS url, '' AS title, '' AS page_text, '' AS source_type, '' AS extracted_value, '' AS notes FROM r WHERE rn = 1",
+)
+def evidence_template(spark: SparkSession, sf: str) -> DataFrame:
+    return prior.evidence_template(fixtures.evidence(spark, sf))
+
+
+@query(
+    "rewrite_notes",
+    "WITH o AS (SELECT o_orderkey, concat(o_comment, '; fetch_status=old; http_status=500') AS n, o_orderstatus AS s, CASE WHEN o_orderkey % 2 = 0 THEN '200' ELSE '' END AS h FROM (SELECT *, 'note ' || o_orderkey AS o_comment FROM (SELECT o_orderkey, o_orderstatus FROM orders))) "
+    "SELECT o_orderkey, concat('note ', o_orderkey, '; fetch_status=', s, CASE WHEN h <> '' THEN concat('; http_status=', h) ELSE '; fetch_error=timeout' END) AS notes FROM o",
+)
+def rewrite_notes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("string")
+    old, even = F.concat(F.lit("note "), k, F.lit("; fetch_status=old; http_status=500")), F.col("o_orderkey") % 2 == 0
+    notes = prior.rewrite_notes(old, F.col("o_orderstatus"), F.when(even, "200").otherwise(""), F.when(even, "").otherwise("timeout"))
+    return table(spark, sf, "orders").select("o_orderkey", notes.alias("notes"))
+
+
+@query(
+    "rerank_by_hash",
+    "WITH s AS (SELECT CAST(c_nationkey AS VARCHAR) AS query, c_custkey AS ordinal, CAST(CAST(concat('0x', substr(sha256(concat(c_nationkey, chr(10), c_name)), 1, 16)) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS score FROM customer) "
+    "SELECT query, ordinal, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, ordinal) AS INT) AS rank FROM s",
+)
+def rerank_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("query"), F.col("c_name").alias("candidate"), F.col("c_custkey").alias("ordinal"))
+    return _round(prior.rerank_by_hash(rows).select("query", "ordinal", "score", "rank"), "score")
+
+
+@query(
+    "batch_progress",
+    f"WITH e AS ({oracles._EVIDENCE}), c AS (SELECT CAST(substr(case_id, 6) AS BIGINT) % 40 AS batch, case_id, attribute, max((url <> '')::INT) AS ok FROM e GROUP BY ALL) "
+    "SELECT batch, count(*) AS cases, CAST(sum(ok) AS BIGINT) AS evidenced, round(sum(ok) / count(*)::DOUBLE, 9) AS share FROM c GROUP BY 1",
+)
+def batch_progress(spark: SparkSession, sf: str) -> DataFrame:
+    e = fixtures.evidence(spark, sf)
+    return _round(prior.batch_progress(e.withColumn("batch", F.expr("cast(substr(case_id, 6) as bigint) % 40")), e.filter("url != ''")), "share")
