@@ -12,8 +12,8 @@ distance.
 Windows at tile starts miss edited passages, so the search does not rest on them: an item's rarest
 shingles, of more than ``1 - SIMILARITY`` of its weight together, are its anchors, and every shingle
 of a document is looked up.  A passage without an anchor holds too little of the item, so no similar
-passage is lost.  Around each candidate all passages of the item's length, ``2 * SLACK`` words more
-or less, are compared by the weighted similarity of word shingles.
+passage is lost.  Around each candidate passages of every length that can be similar are compared by
+the weighted similarity of word shingles, so insertions of any number of words are found.
 
 Documents stream past the index in one pass and are not shuffled.  Items are loaded in blocks of
 ``ITEM_BLOCK``, one pass each.  Weights and the tile are those of the whole benchmark, so blocks do
@@ -38,8 +38,6 @@ SHINGLE = 5
 SIMILARITY = 0.75
 #: Items a pass over the documents looks for (an index of about 20 MB for 40-word items).
 ITEM_BLOCK = 2_000
-#: Words a verified passage may be longer or shorter than the item, on either side.
-SLACK = 2
 
 _BLOCKS, _BITS = 4, 16
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -227,37 +225,52 @@ class ItemIndex:
             into = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[at], size)
             yield np.repeat(row, size), owner[into], np.repeat(place, size)
 
-    def _passages(self, k: int, full: np.ndarray, lo: int, hi: int, places: list[int]):
-        """The best ``(similarity, -start, words)`` of the passages of words ``lo`` to ``hi`` around ``places``, or None."""
-        mine, length, total = self.sets[k][0], len(self.items[k][1]), self.totals[k]
+    def _passages(self, k: int, full: np.ndarray, lo: int, hi: int, places: list[int], every: np.ndarray):
+        """The best ``(similarity, -start, -words)`` of the passages of words ``lo`` to ``hi`` around ``places``, or None.
+
+        ``every`` is the running weight of the row's shingles.  A similar passage weighs
+        ``total / SIMILARITY`` at most, and the best one starts and ends with a shingle of the item,
+        since others at its ends only add to the union.  So all lengths are covered.
+        """
+        mine, total = self.sets[k][0], self.totals[k]
+        room, count = total / SIMILARITY + 1e-9, len(every) - 1
         spans: list[list[int]] = []
-        for p in places:
-            a, z = max(p + 1 - length, lo), min(p + length + 2 * SLACK, hi)
+        for p in places if count > 0 else []:
+            q = min(max(p - lo, 0), count - 1)
+            a = int(np.searchsorted(every, every[q + 1] - room))
+            z = int(np.searchsorted(every, every[q] + room, side="right")) - 1
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(z, spans[-1][1])
             else:
                 spans.append([a, z])
-        likely = []
+        found: list[tuple[np.ndarray, ...]] = []
         for a, z in spans:
-            part = full[a : max(z - SHINGLE + 1, a)]
-            weights = self.weigh(part)
-            held = mine[np.minimum(np.searchsorted(mine, part), len(mine) - 1)] == part
-            if (weights * held).sum() < SIMILARITY * total - 1e-9:
+            part = full[lo + a : lo + z]
+            held = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, part), len(mine) - 1)] == part)
+            before, after = every[a + held], every[a + held + 1]
+            both = np.append(0.0, np.cumsum(after - before))
+            if both[-1] < SIMILARITY * total - 1e-9:
                 continue
-            every, both = np.append(0.0, np.cumsum(weights)), np.append(0.0, np.cumsum(weights * held))
-            for n in range(max(SHINGLE, length - 2 * SLACK), min(length + 2 * SLACK, z - a) + 1):
-                c = n - SHINGLE + 1
+            first = np.arange(len(held))
+            size = np.searchsorted(after, before + room, side="right") - first
+            for block in np.split(first, np.flatnonzero(np.diff(np.cumsum(size) >> 20)) + 1):  # about a million pairs at a time
+                i = np.repeat(block, size[block])
+                j = i + np.arange(len(i)) - np.repeat(np.cumsum(size[block]) - size[block], size[block])
                 # Exact unless the passage repeats a shingle more often than the item; then too high.
-                shared = np.minimum(both[c:] - both[:-c], total)
-                bound = shared / (total + every[c:] - every[:-c] - shared)
-                likely += [(-round(float(bound[i]), 9), int(i) + a, -n) for i in np.flatnonzero(bound >= SIMILARITY - 1e-9)]
+                shared = np.minimum(both[j + 1] - both[i], total)
+                bound = shared / (total + after[j] - before[i] - shared)
+                likely = bound >= SIMILARITY - 1e-9
+                found.append((bound[likely], held[i[likely]] + a + lo, held[j[likely]] - held[i[likely]] + SHINGLE))
+        if not found:
+            return None
+        bounds, starts, words = (np.concatenate(x) for x in zip(*found, strict=True))
         best = None
-        for bound, start, n in sorted(likely):
-            if best and (best[0] >= 1 or -bound < best[0] - 2e-9):
+        for at in np.lexsort((words, starts, -np.round(bounds, 9))).tolist():
+            if best and (best[0] >= 1 or bounds[at] < best[0] - 2e-9):
                 break
-            sim = self.similarity(k, full[start : start - n - SHINGLE + 1])
+            sim = self.similarity(k, full[starts[at] : starts[at] + words[at] - SHINGLE + 1])
             if sim >= SIMILARITY:
-                best = max(best or (0.0,), (sim, -start, -n))
+                best = max(best or (0.0,), (sim, -int(starts[at]), -int(words[at])))
         return best
 
     def search(self, column: pa.Array):
@@ -278,11 +291,14 @@ class ItemIndex:
                 order = np.lexsort((places, owners, rows))
                 for row, k, place in zip(rows[order].tolist(), owners[order].tolist(), places[order].tolist(), strict=True):
                     around.setdefault((row, k), []).append(place)
-            for (row, k), places in around.items():
+            running: tuple[int, np.ndarray] = (-1, np.empty(0))
+            for (row, k), places in around.items():  # in order of rows
                 lo, hi = int(first[row]), int(first[row + 1])
+                if running[0] != row:
+                    running = (row, np.append(0.0, np.cumsum(self.weigh(full[lo : max(hi - SHINGLE + 1, lo)]))))
                 if lengths[k] < SHINGLE:
                     yield first_row + row, self.items[k][0], 1.0, places[0] - lo, int(lengths[k])
-                elif best := self._passages(k, full, lo, hi, places):
+                elif best := self._passages(k, full, lo, hi, places, running[1]):
                     yield first_row + row, self.items[k][0], best[0], -best[1] - lo, best[2]
 
 

@@ -192,6 +192,33 @@ def test_runs_of_edits_against_every_window(sizes):
     assert some > 20
 
 
+def test_insertions_of_any_length_and_scattered_edits():
+    rng = random.Random(4)
+    items = [(i, prose(4000 + i, n)) for i, n in enumerate((40, 59, 100))]
+    index = decontamination.ItemIndex(items)
+    texts, want = [], []
+    for i, t in items:
+        for run in (1, 3, 5, 8, 12, 16, 24, 30):
+            w = t.split()
+            at = rng.randrange(1, len(w))
+            texts.append((i, rng.randrange(30), w[:at] + [f"new{rng.random()}" for _ in range(run)] + w[at:]))
+        for edits in (1, 2, 3, 4, 6) * 4:
+            w = t.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            texts.append((i, rng.randrange(30), w))
+    column = pa.array([f"{prose(rng.randrange(10**6), k)} {' '.join(w)} {prose(rng.randrange(10**6), 60)}" for _, k, w in texts], pa.large_string())
+    found = {(row, i): sim for row, i, sim, *_ in index.search(column)}
+    (_, data, offsets), = decontamination.text_blocks(column)
+    words, first = decontamination.word_hashes(data, offsets)
+    for row, (i, k, w) in enumerate(texts):
+        sim = index.similarity(i, decontamination.shingle_set(words[first[row] + k : first[row] + k + len(w)]))
+        if sim >= 0.75:
+            want.append((i, len(w)))
+            assert found.get((row, i), 0) >= sim - 1e-9
+    assert {(2, 108), (2, 112), (2, 116)} <= set(want) and len(want) > 40  # 30 words inserted leave 0.71
+
+
 def test_equal_copies_start_at_the_first(spark):
     item = prose(3, 12)
     _, _, found = leaks(spark, [(1, f"a b {item} c {item}", "s"), (2, f"{prose(4, 5)} one two x one two", "s")], [(1, item), (2, "one two")])
