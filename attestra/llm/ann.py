@@ -188,6 +188,12 @@ def _matrix(column: pa.Array, dim: int, kind) -> np.ndarray:
     return flat.astype(kind).reshape(-1, dim)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither vanish nor overflow; cosines stay as they are, to the last bit."""
+    _, exponent = np.frexp(np.abs(v).max(axis=1, initial=0.0))
+    return np.ldexp(v, -exponent[:, None])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
@@ -197,7 +203,7 @@ def _build(table: pa.Table) -> pa.Table:
     table = table.combine_chunks().sort_by("id")
     column = table["vector"].combine_chunks()
     dim = len(column[0])
-    v = _matrix(column, dim, np.float64)
+    v = _scaled(_matrix(column, dim, np.float64))
     graph = build_graph(_unit(v))
     ids = table["id"].to_numpy()
     row = [table["shard"][0].as_py(), len(ids), dim, graph.entry, graph.edges.shape[1], ids.astype(np.int64).tobytes(), v.tobytes(), graph.edges.tobytes()]
@@ -212,7 +218,7 @@ def _pack(table: pa.Table) -> pa.Table:
     """One block of queries ``block, dim, id, vector`` to one row of blobs."""
     table = table.combine_chunks().sort_by("id")
     dim = table["dim"][0].as_py()
-    v = _matrix(table["vector"].combine_chunks(), dim, np.float64)
+    v = _scaled(_matrix(table["vector"].combine_chunks(), dim, np.float64))
     return pa.table({"block": table["block"].slice(0, 1), "dim": table["dim"].slice(0, 1), "query_ids": pa.array([table["id"].to_numpy().astype(np.int64).tobytes()]), "queries": pa.array([v.tobytes()])})
 
 
