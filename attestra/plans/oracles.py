@@ -198,7 +198,7 @@ def _golden(baselines, group: str = "baseline", ev: str | None = None) -> str:
 
 
 def golden_metrics() -> str:
-    return _golden(policies.BASELINES) + """SELECT baseline, attribute, scope, total, covered, correct, abstained, high_confidence_wrong, round(p, 9) AS accuracy, round(q, 9) AS recall,
+    return _golden(policies.BASELINES) + """SELECT baseline, attribute, scope, total, covered, correct, abstained, high_confidence_wrong, round(p, 9) AS accuracy, round(p, 9) AS precision, round(q, 9) AS recall,
  round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 9) AS f1, round(covered / total::DOUBLE, 9) AS coverage, round(abstained / total::DOUBLE, 9) AS abstention_rate,
  round(CASE WHEN covered > 0 THEN high_confidence_wrong / covered::DOUBLE ELSE 0 END, 9) AS high_confidence_wrong_rate FROM r"""
 

@@ -111,8 +111,8 @@ for _b in policies.BASELINES:
 @query("golden_metrics", oracles.golden_metrics())
 def golden_metrics(spark: SparkSession, sf: str) -> DataFrame:
     rows = policies.evaluation_rows(fixtures.labelled(spark, sf))
-    out = metrics.golden_metrics(rows, ["baseline"]).drop("precision")
-    return _round(out, "accuracy", "recall", "f1", "coverage", "abstention_rate", "high_confidence_wrong_rate")
+    out = metrics.golden_metrics(rows, ["baseline"])
+    return _round(out, "accuracy", "precision", "recall", "f1", "coverage", "abstention_rate", "high_confidence_wrong_rate")
 
 
 @query("policy_calibration", oracles.calibration())
@@ -493,6 +493,9 @@ _KIND = (
 )
 
 
+_AUTHORITY_COUNTS = ("official_pages_found", "place_relevant_official_found", "generic_official_homepage_found", "finder_or_locator_found", "same_domain_query_covered", "selected_official", "false_official")
+
+
 @query(
     "website_authority",
     oracles.BEST
@@ -500,13 +503,14 @@ _KIND = (
  per AS (SELECT case_id, bool_or({oracles._STRONG}) AS official, bool_or(kind IN ('place', 'finder')) AS relevant, bool_or(kind = 'generic') AS generic, bool_or(kind = 'finder') AS finder,
   bool_or({oracles.host('gold_value')} <> '' AND contains(lower(query), concat('site:', {oracles.host('gold_value')}))) AS same_domain FROM web GROUP BY 1),
  top AS (SELECT case_id, score, source_type, matches, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, attempt) AS rn FROM best WHERE attribute = 'website' AND layer <> 'fallback' AND score > 0),
- j AS (SELECT per.*, coalesce(score >= 0.75 AND {oracles._STRONG}, false) AS selected, coalesce(score >= 0.75 AND {oracles._STRONG} AND NOT matches, false) AS wrong FROM per LEFT JOIN (SELECT * FROM top WHERE rn = 1) t USING (case_id))
- SELECT count(*) AS total, count(*) FILTER (official) AS official_pages_found, count(*) FILTER (relevant) AS place_relevant_official_found, count(*) FILTER (generic) AS generic_official_homepage_found,
-  count(*) FILTER (finder) AS finder_or_locator_found, count(*) FILTER (same_domain) AS same_domain_query_covered, count(*) FILTER (selected) AS selected_official, count(*) FILTER (wrong) AS false_official FROM j""",
+ j AS (SELECT per.*, coalesce(score >= 0.75 AND {oracles._STRONG}, false) AS selected, coalesce(score >= 0.75 AND {oracles._STRONG} AND NOT matches, false) AS wrong FROM per LEFT JOIN (SELECT * FROM top WHERE rn = 1) t USING (case_id)),
+ n AS (SELECT count(*) AS total, count(*) FILTER (official) AS official_pages_found, count(*) FILTER (relevant) AS place_relevant_official_found, count(*) FILTER (generic) AS generic_official_homepage_found,
+  count(*) FILTER (finder) AS finder_or_locator_found, count(*) FILTER (same_domain) AS same_domain_query_covered, count(*) FILTER (selected) AS selected_official, count(*) FILTER (wrong) AS false_official FROM j) SELECT *, """
+    + ", ".join(f"round({n} / total::DOUBLE, 9) AS {n}_rate" for n in _AUTHORITY_COUNTS)
+    + " FROM n",
 )
 def website_authority(spark: SparkSession, sf: str) -> DataFrame:
-    out = replay.website_authority(_scored(spark, sf))
-    return out.select(*[c for c in out.columns if not c.endswith("_rate")])
+    return _round(replay.website_authority(_scored(spark, sf)), *[f"{n}_rate" for n in _AUTHORITY_COUNTS])
 
 
 @query(
