@@ -30,14 +30,27 @@ def first_text(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*have, F.lit(""))
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file by its header, all text, nulls empty; quotes are doubled inside quoted cells."""
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first of several paths that is there, in any file system that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).exists(at):
+            return path
+    raise FileNotFoundError(f"none of {', '.join(paths)} is there")
+
+
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file by its header, all text, nulls empty; quotes are doubled inside quoted cells.
+
+    Without ``multi_line`` cells hold no line ends, and large files are split over tasks.
+    """
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     return df.select(*[N.text(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a .csv, .jsonl or .json file (a list, or an object with ``rows`` or ``data``)."""
+def read_rows(spark: SparkSession, path: str, wrappers: tuple[str, ...] = ("rows", "data")) -> DataFrame:
+    """Rows of a .csv, .jsonl or .json file (a list, or an object with one of ``wrappers``)."""
     kind = PurePosixPath(path).suffix.lower()
     if kind == ".csv":
         return read_text_csv(spark, path)
@@ -45,7 +58,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.json(path)
     if kind == ".json":
         df = spark.read.json(path, multiLine=True)
-        inner = [c for c in ("rows", "data") if c in df.columns and df.schema[c].dataType.typeName() == "array"]
+        inner = [c for c in wrappers if c in df.columns and df.schema[c].dataType.typeName() == "array"]
         return df.select(F.explode(F.coalesce(*[F.col(c) for c in inner])).alias("r")).select("r.*") if inner else df
     raise ValueError(f"unsupported file type {kind!r}")
 
@@ -143,6 +156,11 @@ def evidence_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """Evidence of a CSV or JSON file (a list, or an object with ``evidence``, ``pages`` or ``rows``)."""
+    return evidence_rows(read_rows(spark, path, ("evidence", "pages", "rows")))
+
+
 def name_mapping(df: DataFrame) -> DataFrame:
     """``variation, chain`` from rows ``chain, variations``; the last of equal variations wins."""
     rows = df.withColumn("_o", F.monotonically_increasing_id()).select("chain", "_o", F.posexplode("variations").alias("_p", "variation"))

@@ -70,3 +70,15 @@ def test_replay_object_round_trip(spark, tmp_path, sf):
     writers.write_replay_object(pages, f"{tmp_path}/r", "2024-01-01T00:00:00Z")
     back = readers.read_replay(spark, f"{tmp_path}/r")
     assert sorted((r["case_id"], r["url"]) for r in back.collect()) == sorted((r["case_id"], r["url"]) for r in pages.collect())
+
+
+def test_evidence_files_and_first_existing(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"pages": [{"place_id": "p", "attribute": "name", "source_url": "u", "candidate_value": "v"}]}')
+    (tmp_path / "b.csv").write_text('case_id,attribute,url,extracted_value\nq,phone,w,"1, ""2"""\n')
+    path = readers.first_existing(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/a.json")
+    a, = readers.read_evidence(spark, path).collect()
+    assert (a["case_id"], a["url"], a["extracted_value"], a["source_type"]) == ("p", "u", "v", "unknown")
+    b, = readers.read_evidence(spark, f"file://{tmp_path}/b.csv").collect()
+    assert (b["case_id"], b["attribute"], b["extracted_value"]) == ("q", "phone", '1, "2"')
+    with pytest.raises(FileNotFoundError):
+        readers.first_existing(spark, f"file://{tmp_path}/none")
