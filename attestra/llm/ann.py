@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table
+from .common import free_name, materialize, release, table
 
 #: Points of a shard, at most about; a task holds one shard's vectors and edges (10 MB at 64 dimensions).
 SHARD_POINTS = 20_000
@@ -263,9 +263,10 @@ def nearest(vectors: DataFrame, k: int, is_query: Column, key: str = "vec_id", v
 
     Rows with a null key or an unusable vector take no part.  Only vectors of equal length are
     compared.  Rows that share the query's key never are its neighbours.  Ties go to the smaller
-    key.  An empty table gives an empty result.
+    key.  An empty table gives an empty result.  Added names that clash with the key's get a leading underscore.
     """
     spark = vectors.sparkSession
+    out = free_name(vectors.select(key), "query_id", "rank", "score")
     good = vectors.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(
         F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("q")
     )
@@ -302,7 +303,8 @@ def nearest(vectors: DataFrame, k: int, is_query: Column, key: str = "vec_id", v
     lists = named.groupBy("query").agg(ranked.alias("near"))
     mine = queries.join(lists, F.col("point") == F.col("query"))
     others = F.slice(F.filter("near", lambda e: e["m"] != F.col("query_id")), 1, k)
-    return mine.select("query_id", F.posexplode(others).alias("at", "e")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.m").alias(key), (-F.col("e.s")).alias("score"))
+    flat = mine.select("query_id", F.posexplode(others).alias("at", "e"))
+    return flat.select(F.col("query_id").alias(out[0]), (F.col("at") + 1).cast("int").alias(out[1]), F.col("e.m").alias(key), (-F.col("e.s")).alias(out[2]))
 
 
 def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, shingle_hashes, signed, table, text_blocks, word_hashes
+from .common import free_name, lower_ascii, shingle_hashes, signed, table, text_blocks, word_hashes
 
 RADIUS = 7
 SHINGLE = 5
@@ -334,10 +334,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """``(key, item_id, similarity, first_word, n_words)`` per document row and item it holds.
 
     Null or empty texts and items match nothing; repeated rows are reported each.  Words are
-    ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
+    ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Added names that clash with the key's get a leading underscore.
     """
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()),
-                           T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
+    names = free_name(docs.select(key), "item_id", "similarity", "first_word", "n_words")
+    types = (T.LongType(), T.DoubleType(), T.LongType(), T.LongType())
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *map(T.StructField, names, types)])
     out = None
     for index in _indexes(items, item, item_text):
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, prefix_hash, span_hash, table, text_blocks
+from .common import free_name, mix, prefix_hash, span_hash, table, text_blocks
 from .linear import fit_logistic, logit, sigmoid
 
 #: Rows of each class that the model is fitted on, at most; everything is scored.
@@ -78,7 +78,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     low = F.lower(F.col(text))
     patterns = [F.when(low.rlike(p), 1).otherwise(0).alias(f"v{k}") for k, p in enumerate(PATTERNS)]
     patterns.append(F.when(F.length(low) < 40, -1).otherwise(0).alias(f"v{len(PATTERNS)}"))
-    rows = docs.filter(F.col(text).isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))  # bounded: 2 * per_class rows
+    rows = docs.select("doc_id", text).filter(F.col(text).isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))  # bounded: 2 * per_class rows
     rows = rows.select("doc_id", low.alias("t"), "y", F.array(*patterns).alias("votes")).dropDuplicates(["doc_id"])
     return rows.orderBy("doc_id").limit(2 * per_class).collect()
 
@@ -178,16 +178,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], text: s
 
     Null and empty texts score as texts without any term.  Every row is scored, repeated or not.
     Without usable labels the fixed lexicon decides.  Labels of null or unknown keys are ignored.
+    If a kept column is called ``score``, the added one gets a leading underscore.
     """
+    out, whole = free_name(docs.select(*keep), "score", "_text")
     model = train(training_sample(docs, labels, "toxic", per_class, text))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
 
     def run(batches):
         score = scorer(*model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score(batch.columns[-1]))], names=schema.names)
 
-    return docs.select(*[F.col(c) for c in keep], F.lower(F.col(text)).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c) for c in keep], F.lower(F.col(text)).alias(whole)).mapInArrow(run, schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

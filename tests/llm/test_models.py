@@ -114,6 +114,17 @@ def test_toxicity_without_labels_and_awkward_rows(spark):
     assert toxicity.score_documents(docs(spark, []), labelled(spark, [(1, 1, 1)]), ["doc_id"]).collect() == []
 
 
+def test_added_names_do_not_clash(spark):
+    d = docs(spark, [(1, "you idiot", "s"), (2, None, "s")]).selectExpr("*", "doc_id AS score", "lang AS _text", "lang AS y", "doc_id AS _id")
+    out = toxicity.score_documents(d, labelled(spark, [(1, 1, 1), (2, 1, 0)]), ["doc_id", "score", "_text"])
+    assert out.columns == ["doc_id", "score", "_text", "_score"] and {(r["doc_id"], r["score"], r["_text"]) for r in out.collect()} == {(1, 1, "en"), (2, 2, "en")}
+    item = " ".join(f"word{i}" for i in range(30))
+    leaks = decontamination.find_leaks(docs(spark, [(7, item, "s")]).selectExpr("doc_id AS item_id", "text", "lang AS similarity"), spark.createDataFrame([(3, item)], "item_id long, text string"), key="item_id")
+    assert leaks.columns[:2] == ["item_id", "_item_id"] and [tuple(r)[:3] for r in leaks.collect()] == [(7, 3, 1.0)]
+    near = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0])], "score long, embedding array<double>"), 5, F.col("score") == 0, key="score")
+    assert near.columns == ["query_id", "rank", "score", "_score"] and [tuple(r) for r in near.collect()] == [(0, 1, 1, 1.0)]
+
+
 def test_label_model_learns_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
