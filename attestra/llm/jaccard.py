@@ -619,7 +619,7 @@ def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group of linked rows, that of the smallest key; columns as they were.
 
-    Rows without words are linked with nothing and all stay.
+    Rows without words are linked with nothing and all stay.  Columns may have any names.
     """
     members, labels, _ = similar_classes(docs, text, key)
     first = F.min(F.struct("o", "t")).alias("d")
@@ -631,10 +631,10 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     kept = classes.groupBy("label").agg(F.min("d").alias("d")).select(F.col("d.o").alias("_o"), F.col("d.t").alias("_t"), F.lit(1).alias("_n"))
     none = members.filter("n = 0").select(F.col("o").alias("_o"), F.col("t").alias("_t"), F.lit(0).alias("_n")).distinct()
     kept = materialize(kept.unionByName(none), "kept")
-    o, t, word = free_name(docs, "o", "t", "word")
-    rows = docs.withColumns({o: F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), t: F.xxhash64(text)})
-    rows = rows.join(kept, (F.col(o) == F.col("_o")) & (F.col(t) == F.col("_t")))
+    ins = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*ins, F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(text).alias("t"))
+    rows = rows.join(kept, (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t")))
     same = members.join(kept.filter("_n = 1"), (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))).groupBy("o", "t").count().filter("count > 1")
     if not same.isEmpty():  # equal rows of one key: the join kept each of them
-        rows = rows.filter("_n = 0").unionByName(rows.filter("_n = 1").dropDuplicates([o, t]))
-    return rows.select(*docs.columns)
+        rows = rows.filter("_n = 0").unionByName(rows.filter("_n = 1").dropDuplicates(["o", "t"]))
+    return rows.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -131,14 +131,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     ids = usable.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(rows)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("y").cast("double").alias("y"))
-    sample = docs.join(F.broadcast(ids), F.col(key) == F.col("_id"))  # bounded: ``rows`` rows
+    sample = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).join(F.broadcast(ids), F.col("_k") == F.col("_id"))  # bounded: ``rows`` rows
 
     def measure(batches):
         for b in batches:
             x = text_statistics(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "y", "x"])
 
-    got = sample.select("_id", "y", F.col(text).alias("t")).mapInArrow(measure, "_id long, y double, x array<double>")
+    got = sample.select("_id", "y", "t").mapInArrow(measure, "_id long, y double, x array<double>")
     got = got.dropDuplicates(["_id"]).orderBy("_id").limit(rows).toPandas()
     x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, len(FEATURES)))
     return AdditiveModel(x.reshape(-1, len(FEATURES)), got["y"].to_numpy(float))

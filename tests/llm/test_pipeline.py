@@ -3,6 +3,8 @@ from __future__ import annotations
 import corpus_pipeline
 from attestra.llm.common import table
 
+from .helpers import awkward, docs
+
 STAGES = ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
@@ -35,3 +37,20 @@ def test_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.collect() == []
+
+
+def test_extra_columns_clash_with_no_helper(spark, sf):
+    extra = ["_o", "_t", "o", "t", "y", "_id", "_n", "n", "p", "host", "score", "copies", "bucket", "shard", "in_0"]
+    rows = docs(spark, awkward()).selectExpr("*", *[f"doc_id AS `{name}`" for name in extra])
+    whole = {tuple(r) for r in rows.collect()}
+    kept = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, sf)
+        assert got.columns == rows.columns and {tuple(r) for r in got.collect()} <= whole, name
+        if name == "near_duplicates":
+            kept = got
+    found = [r["doc_id"] for r in kept.collect()]
+    # 20 to 23 are copies and near copies; texts below five words link as whole sequences.
+    assert 20 in found and not {21, 22, 23, 44} & set(found) and {30, 31, 40, 41, 42, 43} <= set(found)
+    out = corpus_pipeline.STAGES[-1][1](spark, rows, sf)
+    assert out.columns == [*rows.columns, "_shard", "slot"] and {tuple(r)[:-2] for r in out.collect()} == whole
