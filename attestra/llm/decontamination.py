@@ -299,7 +299,7 @@ class ItemIndex:
                 if lengths[k] < SHINGLE:
                     yield first_row + row, self.items[k][0], 1.0, places[0] - lo, int(lengths[k])
                 elif best := self._passages(k, full, lo, hi, places, running[1]):
-                    yield first_row + row, self.items[k][0], best[0], -best[1] - lo, best[2]
+                    yield first_row + row, self.items[k][0], best[0], -best[1] - lo, -best[2]
 
 
 def _statistics(rows: DataFrame, text: str) -> Statistics:
