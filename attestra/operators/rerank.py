@@ -1,22 +1,26 @@
 """The small logistic reranker: native features, sequential training, native scoring.
 
 Training is online gradient descent over examples in a given order, so it is one task per model
-key; its examples are bounded by ``MAX_EXAMPLES`` per key (an error beyond, never a silent sample).
-Scoring joins no model: weights are a literal map in the expression.
+key.  Examples stream through it, sorted by Spark, and wait for later passes in a compressed file of
+the task, so their number is not bounded.  Scoring joins no model: weights are a literal map in the expression.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
+import tempfile
+from operator import mul
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import authority as A
 from ..functions import normalize as N
 
-MAX_EXAMPLES = 2_000_000
 # Words of page texts and paths that are features.
 STALE_WORDS = ("former", "formerly", "moved", "closed", "directory", "listing")
 PATH_WORDS = ("contact", "about", "locations", "location", "store-locator", "store locator", "directions", "hours", "menu", "services", "home")
@@ -24,11 +28,19 @@ TEXT_WORDS = ("contact", "about", "hours", "menu", "services")
 RECENT = (30, 90, 180, 365)
 
 
-def page_features() -> Column:
-    """Sparse features of a scored page row as ``map<string, double>``; zeros are kept out."""
-    kind, host, path = A.classify_source(F.col("url")), N.url_host(F.col("url")), N.url_path(F.col("url"))
+def with_page_features(pages: DataFrame) -> DataFrame:
+    """Scored page rows with ``features``.
+
+    What many features are made of is computed in a step of its own: inside the one array of all
+    features each mention would be evaluated again.
+    """
     words = F.lower(F.concat_ws(" ", *[F.nullif(N.text(F.col(c)), F.lit("")) for c in ("title", "page_text", "page_text")]))
-    asked = F.lower(N.strip(N.text(F.col("query"))))
+    made = {"_kind": A.classify_source(F.col("url")), "_host": N.url_host(F.col("url")), "_path": N.url_path(F.col("url")), "_words": words, "_asked": F.lower(N.strip(N.text(F.col("query"))))}
+    return pages.withColumns(made).withColumn("features", _page_features(*map(F.col, made))).drop(*made)
+
+
+def _page_features(kind: Column, host: Column, path: Column, words: Column, asked: Column) -> Column:
+    """Sparse features of a page row as ``map<string, double>``; zeros are kept out."""
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     pairs: list[tuple[Column, Column]] = [(F.concat(F.lit("source:"), kind), F.lit(1.0)), (F.concat(F.lit("layer:"), N.text(F.col("layer"))), F.lit(1.0))]
     for name, value in (("official_site", "official_site"), ("government", "government"), ("registry", "business_registry"), ("aggregator", "aggregator"), ("social", "social")):
@@ -104,23 +116,88 @@ def train(examples: DataFrame, epochs: int = 25, learning_rate: float = 0.1, l2:
     Passes run in ``ordinal`` order without shuffling; the penalty touches the features present.
     """
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_EXAMPLES:
-            raise ValueError(f"{len(pdf)} examples for one sequential model; at most {MAX_EXAMPLES}")
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        rows = [(dict(f), float(y)) for f, y in zip(pdf["features"], pdf["label"], strict=True)]
-        bias, w = 0.0, {}
-        for _ in range(max(1, epochs)):
-            for features, y in rows:
-                z = bias + sum(w.get(k, 0.0) * v for k, v in features.items())
-                p = 1.0 / (1.0 + math.exp(-z)) if z >= 0 else math.exp(z) / (1.0 + math.exp(z))
-                bias += learning_rate * (y - p)
-                for k, v in features.items():
-                    old = w.get(k, 0.0)
-                    w[k] = old + learning_rate * ((y - p) * v - l2 * old)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "bias": [bias], "weights": [w]})
-
-    return examples.select("key", "ordinal", "features", "label").groupBy("key").applyInPandas(fit, "key string, bias double, weights map<string,double>")
+    names, values = F.coalesce(F.map_keys("features"), F.array().cast("array<string>")), F.coalesce(F.map_values("features"), F.array().cast("array<double>"))
+    packed = examples.select("key", "ordinal", F.to_json(names).alias("names"), values.cast("array<double>").alias("values"), F.col("label").cast("double").alias("label"))
+    ordered = packed.repartition("key").sortWithinPartitions("key", "ordinal", "names", "label", "values")
+
+    def run(batches):
+        model = None
+        for batch in batches:
+            keys = batch.column(0)
+            for lo, hi in itertools.pairwise([0, *_ends(keys)]):
+                if model is None or model.key != keys[lo]:
+                    if model is not None:
+                        yield model.fitted()
+                    model = _Model(keys[lo], epochs, learning_rate, l2)
+                model.learn(batch.slice(lo, hi - lo))
+        if model is not None:
+            yield model.fitted()
+
+    key = examples.schema["key"].dataType.simpleString()
+    return ordered.select("key", "names", "values", "label").mapInArrow(run, f"key {key}, bias double, weights map<string,double>")
+
+
+def _ends(keys: pa.Array) -> list[int]:
+    """Ends of the runs of equal values."""
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return [*(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+
+
+class _Model:
+    """One key's weights; examples are learned as they come, and again from a file in each later pass."""
+
+    def __init__(self, key: pa.Scalar, epochs: int, learning_rate: float, l2: float):
+        self.key, self.epochs, self.rate, self.l2 = key, epochs, learning_rate, l2
+        self.bias, self.weights = 0.0, []
+        self.ids: dict[str, int] = {}  # features, in order of their first example
+        self.patterns: list[list[int]] = []  # sets of features that occur together
+        self.known: dict[str, int] = {}
+        self.file, self.writer = None, None
+
+    def learn(self, batch: pa.RecordBatch) -> None:
+        coded = batch.column(1).dictionary_encode()
+        for names in coded.dictionary.to_pylist():
+            if names not in self.known:
+                self.known[names] = len(self.patterns)
+                self.patterns.append([self.ids.setdefault(n, len(self.ids)) for n in json.loads(names)])
+        self.weights += [0.0] * (len(self.ids) - len(self.weights))
+        ours = np.array([self.known[n] for n in coded.dictionary.to_pylist()], np.int32)
+        which, values, labels = ours[coded.indices.to_numpy()], batch.column(2).flatten(), batch.column(3)
+        self._pass(which.tolist(), values.to_pylist(), labels.to_pylist())
+        if self.epochs > 1:
+            kept = pa.record_batch([pa.array([which], pa.list_(pa.int32())), pa.ListArray.from_arrays([0, len(values)], values), pa.ListArray.from_arrays([0, len(labels)], labels)], names=["which", "values", "labels"])
+            if self.writer is None:
+                self.file = tempfile.TemporaryFile()
+                self.writer = pa.ipc.new_stream(self.file, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            self.writer.write_batch(kept)
+
+    def _pass(self, which: list[int], values: list[float], labels: list[float]) -> None:
+        bias, w, rate, l2, patterns, at = self.bias, self.weights, self.rate, self.l2, self.patterns, 0
+        for i, y in zip(which, labels, strict=True):
+            ids = patterns[i]
+            v = values[at : at + len(ids)]
+            at += len(ids)
+            z = bias + sum(map(mul, [w[k] for k in ids], v))
+            p = 1.0 / (1.0 + math.exp(-z)) if z >= 0 else math.exp(z) / (1.0 + math.exp(z))
+            off = y - p
+            bias += rate * off
+            for k, x in zip(ids, v):  # noqa: B905
+                old = w[k]
+                w[k] = old + rate * (off * x - l2 * old)
+        self.bias = bias
+
+    def fitted(self) -> pa.RecordBatch:
+        if self.writer is not None:
+            self.writer.close()
+            for _ in range(self.epochs - 1):
+                self.file.seek(0)
+                with pa.ipc.open_stream(self.file) as stored:
+                    for kept in stored:
+                        self._pass(*(c.flatten().to_pylist() for c in kept.columns))
+            self.file.close()
+        kinds = [self.key.type, pa.float64(), pa.map_(pa.string(), pa.float64())]
+        weights = list(zip(self.ids, self.weights, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((self.key.as_py(), self.bias, weights), kinds, strict=True)], names=["key", "bias", "weights"])
 
 
 def score(features: Column, bias: float, weights: dict[str, float]) -> Column:
@@ -133,7 +210,8 @@ def score(features: Column, bias: float, weights: dict[str, float]) -> Column:
 def training_examples(scored: DataFrame, key: str = "reranker") -> DataFrame:
     """One example per page of a replay corpus, in order of case, attempt and page; label: it matches gold."""
     order = F.struct("case_id", "attribute", "attempt", "page")
-    return scored.filter("page IS NOT NULL").select(F.lit(key).alias("key"), order.alias("ordinal"), page_features().alias("features"), F.col("matches").cast("int").alias("label"), "case_id", "attribute")
+    rows = with_page_features(scored.filter("page IS NOT NULL"))
+    return rows.select(F.lit(key).alias("key"), order.alias("ordinal"), "features", F.col("matches").cast("int").alias("label"), "case_id", "attribute")
 
 
 def compare(scored: DataFrame, fraction: float = 0.25, epochs: int = 30, learning_rate: float = 0.1, l2: float = 0.001) -> DataFrame:
@@ -151,8 +229,8 @@ def compare(scored: DataFrame, fraction: float = 0.25, epochs: int = 30, learnin
     if classes["low"] == classes["high"]:
         return tested.select("case_id", "attribute", "attempt", "page", "matches", "score", F.lit(None).cast("double").alias("reranked")).limit(0)
     model = train(examples, epochs, learning_rate, l2).first()
-    fresh = 0.4 * F.col("score") + 0.6 * score(page_features(), model["bias"], model["weights"])
-    return tested.select("case_id", "attribute", "attempt", "page", "matches", "score", F.least(F.lit(1.0), fresh).alias("reranked"))
+    fresh = 0.4 * F.col("score") + 0.6 * score(F.col("features"), model["bias"], model["weights"])
+    return with_page_features(tested).select("case_id", "attribute", "attempt", "page", "matches", "score", F.least(F.lit(1.0), fresh).alias("reranked"))
 
 
 def balanced_queue(rows: DataFrame, positives: DataFrame) -> DataFrame:

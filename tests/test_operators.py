@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,28 @@ def test_release_gate():
     assert replay.release_gate(good, "a.csv", "b.csv")["passed"]
     assert not replay.release_gate(good, "a.csv", "a.csv")["passed"]
     assert not replay.release_gate(good | {"replay_pages": 299}, "a.csv", "b.csv")["passed"]
+
+
+def test_training_takes_any_number_of_examples_in_order(spark):
+    n = 2_000_001
+    rows = spark.range(n).select(F.lit("k").alias("key"), (n - F.col("id")).alias("ordinal"), F.create_map(F.lit("x"), F.lit(1.0)).alias("features"), F.lit(0).alias("label"))
+    model = rerank.train(rows, epochs=1).first()
+    assert model["bias"] < -5 and dict(model["weights"])["x"] == pytest.approx(model["bias"])
+
+
+def test_training_passes_see_every_key_alone(spark):
+    def plain(examples, epochs, rate, l2):
+        bias, w = 0.0, {}
+        for _ in range(epochs):
+            for features, y in examples:
+                p = 1 / (1 + math.exp(-(bias + sum(w.get(k, 0.0) * v for k, v in features.items()))))
+                bias += rate * (y - p)
+                w |= {k: w.get(k, 0.0) + rate * ((y - p) * v - l2 * w.get(k, 0.0)) for k, v in features.items()}
+        return bias, w
+
+    made = {k: [({f"f{i % 3}": 1.0, "x": i / 7, f'odd "{i % 2}", ': 1.0}, (i * j) % 2) for i in range(1, 40)] for j, k in enumerate("abc", 1)}
+    df = spark.createDataFrame([(k, i, f, y) for k, rows in made.items() for i, (f, y) in enumerate(rows)], "key string, ordinal int, features map<string,double>, label int")
+    got = {r["key"]: (r["bias"], dict(r["weights"])) for r in rerank.train(df.repartition(5), 4, 0.1, 0.001).collect()}
+    for k, rows in made.items():
+        bias, w = plain(rows, 4, 0.1, 0.001)
+        assert got[k][0] == pytest.approx(bias) and got[k][1] == pytest.approx(w)
