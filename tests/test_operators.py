@@ -213,3 +213,43 @@ def test_training_passes_see_every_key_alone(spark):
     for k, rows in made.items():
         bias, w = plain(rows, 4, 0.1, 0.001)
         assert got[k][0] == pytest.approx(bias) and got[k][1] == pytest.approx(w)
+
+
+def test_matching_of_large_blocks_is_exact_and_tries_few_names(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    fields = [f.removesuffix(" string") for f in "place_id name address city region phone website".split()]
+
+    def places(tag, n):
+        pick = lambda *xs: rng.choice(xs)
+        return [(f"{tag}{i}", f"{pick('Blue', 'Cafe', '')} {pick('Cafe', 'ab', 'abab')} {i % 7}", pick("1 Elm", "2 Elm", ""), pick("X", "Y", ""), pick("A", "A", "B", "", tag), pick("5551234567", ""), pick("s1.com", "")) for i in range(n)]
+
+    lefts, rights = places("l", 30), places("r", 40)
+    block = lambda p: p[4].lower() or "__unknown__"
+    want = {}
+    for a in lefts:
+        met = [b for b in rights if block(b) == block(a)] or rights
+        ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+        tidy = lambda x: " ".join(x.lower().split())
+        same = lambda b, k: a[k] != "" and a[k] == b[k]  # noqa: B023, E731
+        rows = []
+        for b in met:
+            raw = ratio(tidy(a[1]), tidy(b[1]))
+            score = 0.45 * raw + 0.15 * same(b, 3) + 0.10 * same(b, 4) + 0.20 * same(b, 5) + 0.20 * same(b, 6) + 0.10 * ratio(tidy(a[2]), tidy(b[2]))
+            linked = same(b, 5) or same(b, 6)
+            rows.append((-round(min(score, 1.0), 4), b[0], round(raw, 4) >= 0.55 if linked else score >= 0.4 and same(b, 4)))
+        want |= {(a[0], b): -s for s, b, likely in sorted(rows)[:3] if likely}
+    for chunk in (4_000, 7):
+        monkeypatch.setattr(matching, "CHUNK", chunk)
+        got = matching.match_places(spark.createDataFrame(lefts, fields), spark.createDataFrame(rights, fields), 0.4, 3).collect()
+        assert {(r["l_place_id"], r["r_place_id"]): r["match_score"] for r in got} == pytest.approx(want)
+
+    import pyarrow as pa
+
+    tried = []
+    monkeypatch.setattr(matching, "similarity", lambda a, b: tried.append(b) or 0.5)
+    side = lambda t, n: pa.table({f"{t}_{c}": [f"{c}{i % 50}" for i in range(n)] for c in ("place_id", "m_name", "m_address", "m_city", "m_region", "m_phone", "m_site")} | {c: [0] * n for c in ("_b", "_i", "_j")})
+    assert len(matching._best_of(3)(side("l", 2), side("r", 2_000))) == 6
+    assert len(tried) < 400
