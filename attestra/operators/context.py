@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +19,33 @@ def nearby(cases: DataFrame, points: DataFrame, order: list[Column], margin: flo
     """Up to ``limit`` points within ``margin`` degrees of each case, first by ``order``.
 
     Range join as an equi-join: points are dealt to cells as wide as the margin and cases to the
-    nine cells around them, so only near rows meet; the exact box is checked after.
+    nine cells around them, so only near rows meet; the exact box is checked after.  Where ``order``
+    is by the points' columns alone, points and cases at one place are met once.
     """
+    p = points.withColumnsRenamed({x: f"p_{x}" for x in points.columns})
+    try:
+        p.select(*order).schema  # noqa: B018
+    except AnalysisException:  # the order depends on the case, so each case has its own
+        return _in_box(cases, p, order, ["case_id"], margin, limit)
+    # Of points at one place only the first can count, and all cases at one place have the same points.
+    spot = Window.partitionBy("p_lon", "p_lat").orderBy(*order)
+    p = p.withColumn("_n", F.row_number().over(spot)).filter(F.col("_n") <= limit).drop("_n")
+    spots = _in_box(cases.select("lon", "lat").distinct(), p, order, ["lon", "lat"], margin, limit).drop("place")
+    spots = spots.withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
+    met = cases.join(spots, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat"))).drop("_lon", "_lat")
+    first = Window.partitionBy("case_id").orderBy(*order)  # a case may have several places
+    return met.select(*cases.columns, *p.columns, F.row_number().over(first).alias("place")).filter(F.col("place") <= limit)
+
+
+def _in_box(cases: DataFrame, p: DataFrame, order: list[Column], by: list[str], margin: float, limit: int) -> DataFrame:
+    """The first points of each group of cases ``by``; points' columns are named ``p_...``."""
     cell = lambda c: F.floor(c / F.lit(margin)).cast("long")
     around = F.sequence(F.lit(-1), F.lit(1))
     c = cases.withColumn("_x", F.explode(F.transform(around, lambda d: cell(F.col("lon")) + d))).withColumn("_y", F.explode(F.transform(around, lambda d: cell(F.col("lat")) + d)))
-    p = points.withColumnsRenamed({x: f"p_{x}" for x in points.columns}).withColumn("_px", cell(F.col("p_lon"))).withColumn("_py", cell(F.col("p_lat")))
+    p = p.withColumn("_px", cell(F.col("p_lon"))).withColumn("_py", cell(F.col("p_lat")))
     met = c.join(p, (F.col("_x") == F.col("_px")) & (F.col("_y") == F.col("_py")))
     met = met.filter(F.col("p_lon").between(F.col("lon") - margin, F.col("lon") + margin) & F.col("p_lat").between(F.col("lat") - margin, F.col("lat") + margin))
-    first = Window.partitionBy("case_id").orderBy(*order)
+    first = Window.partitionBy(*by).orderBy(*order)
     return met.drop("_x", "_y", "_px", "_py").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= limit)
 
 

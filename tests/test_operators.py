@@ -253,3 +253,19 @@ def test_matching_of_large_blocks_is_exact_and_tries_few_names(spark, monkeypatc
     side = lambda t, n: pa.table({f"{t}_{c}": [f"{c}{i % 50}" for i in range(n)] for c in ("place_id", "m_name", "m_address", "m_city", "m_region", "m_phone", "m_site")} | {c: [0] * n for c in ("_b", "_i", "_j")})
     assert len(matching._best_of(3)(side("l", 2), side("r", 2_000))) == 6
     assert len(tried) < 400
+
+
+def test_nearby_meets_each_place_once(spark):
+    cases = spark.createDataFrame([(i, (i % 4) / 10.0, 0.0) for i in range(40)] + [(0, 0.1, 0.0)], "case_id int, lon double, lat double")
+    points = spark.createDataFrame([(i, (i % 5) / 10.0, (i % 3) / 100.0) for i in range(3_000)], "key int, lon double, lat double")
+    near = context.nearby(cases, points, [F.col("p_key")], margin=0.05, limit=3)
+    rows = [(c["case_id"], p["key"]) for c in cases.collect() for p in points.collect() if abs(c["lon"] - p["lon"]) <= 0.05 and abs(c["lat"] - p["lat"]) <= 0.05]
+    want = {(c, k, i + 1) for c in range(40) for i, k in enumerate(sorted(k for x, k in rows if x == c)[:3])}
+    assert {(r["case_id"], r["p_key"], r["place"]) for r in near.collect()} == want
+    import re
+
+    near.write.format("noop").mode("overwrite").save()
+    away = context.nearby(cases, points, [F.abs(F.col("p_lon") - F.col("lon")), F.col("p_key")], margin=0.05, limit=3)
+    assert {(r["case_id"], r["p_key"], r["place"]) for r in away.collect()} == want
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(\w*_?lon#\d+, \w*_?lat#\d+", plan)
