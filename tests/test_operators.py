@@ -269,3 +269,19 @@ def test_nearby_meets_each_place_once(spark):
     assert {(r["case_id"], r["p_key"], r["place"]) for r in away.collect()} == want
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"row_number\(\) windowspecdefinition\(\w*_?lon#\d+, \w*_?lat#\d+", plan)
+
+
+def test_decisions_of_a_corpus_need_one_exchange(spark, sf):
+    from attestra.plans import fixtures
+
+    pages = fixtures.evidence(spark, sf)
+    k = F.pmod(F.hash("case_id"), F.lit(5))
+    mine = F.create_map(F.lit("current_value"), F.when(k == 0, "VALUE  1").otherwise(""), F.lit("base_value"), F.when(k == 1, "value 2").otherwise("8315550001"), F.lit("website"), F.lit("https://v1.example.com"))
+    odd = pages.withColumn("place", mine).withColumn("page", F.when(k != 3, F.col("page"))).withColumn("gold_value", F.when(k != 2, F.col("gold_value")))
+    for gold in (True, False):
+        want = resolver.resolve(odd.select("case_id", "attribute").distinct(), replay.candidates_of(odd, gold), replay.evidence_of(odd))
+        got = replay.decisions_of(odd, gold)
+        assert sorted(map(tuple, got.drop("gold_values").collect())) == sorted(map(tuple, want.collect()))
+        assert {r["gold_value"] for r in got.select(F.explode("gold_values").alias("g")).select("g.*").collect()} == {r["gold_value"] for r in odd.select("gold_value").distinct().collect()}
+    plan = replay.decisions_of(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
