@@ -169,18 +169,30 @@ def merge_corpora(pages: DataFrame) -> DataFrame:
     from the first that has one.
     """
     url = N.strip(N.text(F.col("url")))
-    order = F.struct("file", "attempt", "page")
-    decided = [F.min_by("final_decision", F.when(F.col("final_decision").isNotNull(), order)).alias("final_decision")] if "final_decision" in pages.columns else []
-    head = pages.groupBy(*EPISODE).agg(F.min_by(F.struct("gold_value", "place"), order).alias("h"), *decided)
-    tries = pages.filter("attempt IS NOT NULL").select(*EPISODE, "layer", "query").distinct()
-    number = Window.partitionBy(*EPISODE).orderBy("layer", "query")
-    tries = tries.withColumn("attempt", F.row_number().over(number) - 1)
+    rows = pages.withColumn("_o", F.struct("file", "attempt", "page")).withColumn("_h", F.struct("gold_value", "place"))
+    rows = rows.withColumn("_d", F.col("final_decision") if (decided := "final_decision" in pages.columns) else F.lit(None).cast("string"))
+    # Each step is by more than the case, so rows that come dealt by case are exchanged once at most, and nothing is joined.
+    tried = F.col("attempt").isNotNull()
+    named = F.col("layer").isNotNull() & F.col("query").isNotNull()
+    held = (url != "") & F.col("page").isNotNull() & named
     best = F.struct((-F.length(N.text(F.col("page_text")))).alias("n"), "file", "attempt", "page")
-    kept = pages.filter((url != "") & F.col("page").isNotNull()).groupBy(*EPISODE, "layer", "query", url.alias("_u")).agg(F.min_by(F.struct(*PAGE_FIELDS), best).alias("v"))
-    nth = Window.partitionBy(*EPISODE, "layer", "query").orderBy("_u")
-    kept = kept.withColumn("page", F.row_number().over(nth) - 1).drop("_u")
-    full = head.join(tries, EPISODE, "left").join(kept, [*EPISODE, "layer", "query"], "left")
-    return full.select(*EPISODE, "h.*", *["final_decision"][: len(decided)], "attempt", "layer", "query", "page", "v.*")
+    first = lambda c, at="_o": F.min_by(c, at).alias(c)
+    said = F.min(F.when(F.col("_d").isNotNull(), F.col("_o"))).alias("_od")
+    say = F.min_by("_d", F.when(F.col("_d").isNotNull(), F.col("_o"))).alias("_d")
+    per_url = rows.groupBy(*EPISODE, "layer", "query", F.when(held, url).alias("_u")).agg(
+        F.max(tried).alias("_t"), F.min_by(F.struct(*PAGE_FIELDS), best).alias("v"), first("_h"), say, said, F.min("_o").alias("_o")
+    )
+    again = F.min_by("_d", "_od").alias("_d")
+    page = F.when(F.col("_u").isNotNull(), F.struct("_u", "v"))
+    per_try = per_url.groupBy(*EPISODE, "layer", "query").agg(
+        F.max("_t").alias("_t"), F.array_sort(F.collect_list(page)).alias("p"), first("_h"), again, F.min("_od").alias("_od"), F.min("_o").alias("_o")
+    )
+    whole = F.col("case_id").isNotNull() & F.col("attribute").isNotNull()
+    attempt = F.when(F.col("_t") & whole, F.struct("layer", "query", "p"))
+    out = per_try.groupBy(*EPISODE).agg(F.array_sort(F.collect_list(attempt)).alias("a"), first("_h"), again)
+    out = out.select(*EPISODE, "_h.*", F.col("_d").alias("final_decision"), F.posexplode_outer("a").alias("attempt", "t"))
+    out = out.select("*", F.col("t.layer").alias("layer"), F.col("t.query").alias("query"), F.posexplode_outer("t.p").alias("page", "u"))
+    return out.select(*EPISODE, "gold_value", "place", *["final_decision"][:decided], "attempt", "layer", "query", "page", "u.v.*")
 
 
 def evidence_of(pages: DataFrame) -> DataFrame:

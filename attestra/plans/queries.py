@@ -536,8 +536,9 @@ def ranker_rows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def replay_merge(spark: SparkSession, sf: str) -> DataFrame:
     e = fixtures.evidence(spark, sf)
-    again = e.filter("attempt % 2 = 1").withColumn("page_text", F.concat("page_text", F.when(F.col("page") % 2 == 0, " more").otherwise("")))
-    both = e.withColumn("file", F.lit("a")).unionByName(again.withColumn("file", F.lit("b")))
+    files = F.when(F.col("attempt") % 2 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    both = e.withColumn("file", F.explode(files))
+    both = both.withColumn("page_text", F.when((F.col("file") == "b") & (F.col("page") % 2 == 0), F.concat("page_text", F.lit(" more"))).otherwise(F.col("page_text")))
     return replay.merge_corpora(both).select("case_id", "attempt", "layer", "url", "page_text")
 
 

@@ -285,3 +285,10 @@ def test_decisions_of_a_corpus_need_one_exchange(spark, sf):
         assert {r["gold_value"] for r in got.select(F.explode("gold_values").alias("g")).select("g.*").collect()} == {r["gold_value"] for r in odd.select("gold_value").distinct().collect()}
     plan = replay.decisions_of(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_merging_needs_one_exchange(spark, sf):
+    from attestra.plans import queries
+
+    plan = queries.QUERIES["replay_merge"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
