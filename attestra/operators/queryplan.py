@@ -156,12 +156,20 @@ def _fill(template: str, fields: dict[str, Column]) -> Column:
     return F.when(query != "", query)
 
 
+def with_plan_fields(places: DataFrame) -> DataFrame:
+    """Places with the columns that ``plan`` reads.
+
+    What many templates hold is computed in a step of its own: inside them each mention would be evaluated again.
+    """
+    fields = {x: quoted(F.col(x)) for x in ("name", "city", "region", "address", "phone")} | {"domain": N.website_domain(F.col("website")), "loose": loose_query()}
+    return places.withColumns({f"_plan_{x}": c for x, c in fields.items()})
+
+
 def plan() -> Column:
-    """``array<struct<layer, queries>>`` of the row's place and ``attribute``: its four layers in order."""
-    fields = {x: quoted(F.col(x)) for x in ("name", "city", "region", "address", "phone")}
-    fields["domain"] = N.website_domain(F.col("website"))
+    """``array<struct<layer, queries>>`` of the row's place and ``attribute``: its four layers in order; the row is of ``with_plan_fields``."""
+    fields = {x: F.col(f"_plan_{x}") for x in ("name", "city", "region", "address", "phone", "domain")}
     fields["minus"] = F.lit(" ".join(f"-site:{d}" for d in EXCLUDED_SITES))
-    loose = loose_query()
+    loose = F.col("_plan_loose")
 
     def layer(name: str, by_attribute: dict, other: Column) -> Column:
         queries = None
@@ -181,7 +189,7 @@ def plan() -> Column:
 
 def plan_rows(places: DataFrame, keep: list[str]) -> DataFrame:
     """One row per query: ``keep``, ``attribute, layer, position, query, preferred_sources``."""
-    layers = places.select(*keep, "attribute", F.posexplode(plan()).alias("_l", "v"))
+    layers = with_plan_fields(places).select(*keep, "attribute", F.posexplode(plan()).alias("_l", "v"))
     rows = layers.select(*keep, "attribute", "_l", "v.layer", F.posexplode("v.queries").alias("_q", "query"))
     preferred = F.when(F.lit(False), F.lit(""))
     for name, kinds in PREFERRED.items():

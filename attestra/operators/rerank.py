@@ -68,14 +68,22 @@ def _page_features(kind: Column, host: Column, path: Column, words: Column, aske
     return F.map_from_entries(entries)
 
 
-def conflict_features() -> Column:
-    """Sparse features of a queued query row."""
-    low = lambda c: F.lower(N.strip(N.text(F.col(c))))
-    attribute, priority, layer, query, sources = (low(c) for c in ("attribute", "priority", "layer", "query", "preferred_sources"))
-    current, base, truth = (low(c) for c in ("current_value", "base_value", "truth"))
+def with_conflict_features(rows: DataFrame) -> DataFrame:
+    """Queued query rows with ``features``, made in steps as in ``with_page_features``."""
+    low = {f"_{c}": F.lower(N.strip(N.text(F.col(c)))) for c in ("attribute", "priority", "layer", "query", "preferred_sources", "current_value", "base_value", "truth", "truth_source", "prediction")}
+    sites = {"_current_site": N.url_host(F.col("_current_value")), "_base_site": N.url_host(F.col("_base_value")), "_truth_site": N.url_host(F.col("_truth"))}
+    asked = {f"{c}_asked": F.col(c).contains(".") & F.col("_query").contains(F.col(c)) for c in sites}
+    steps = rows.withColumns(low).withColumns(sites).withColumns(asked)
+    return steps.withColumn("features", _conflict_features()).drop(*low, *sites, *asked)
+
+
+def _conflict_features() -> Column:
+    """Sparse features of a queued query row, from the columns of ``with_conflict_features``."""
+    attribute, priority, layer, query, sources = (F.col(f"_{c}") for c in ("attribute", "priority", "layer", "query", "preferred_sources"))
+    current, base = F.col("_current_value"), F.col("_base_value")
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    host = lambda c: F.when(N.url_host(c).contains("."), N.url_host(c)).otherwise("")
-    asked = lambda c: (host(c) != "") & query.contains(host(c))
+    host = lambda name: F.col(f"_{name}_site").contains(".")
+    asked = lambda name: F.col(f"_{name}_site_asked")
     like = lambda c: c.contains(".") & ~c.contains(" ")
     pairs = [(F.concat(F.lit("attr:"), attribute), yes(attribute != "")), (F.concat(F.lit("priority:"), priority), yes(priority != "")), (F.concat(F.lit("layer:"), layer), yes(layer != ""))]
     named = {
@@ -94,15 +102,15 @@ def conflict_features() -> Column:
         "value:current_domain_like": like(current),
         "value:base_domain_like": like(base),
         "value:current_equals_base": (current != "") & (current == base),
-        "value:truth_source_present": low("truth_source") != "",
-        "value:prediction_present": low("prediction") != "",
-        "domain:current_present": host(current) != "",
-        "domain:base_present": host(base) != "",
-        "domain:truth_present": host(truth) != "",
-        "domain:query_current": asked(current),
-        "domain:query_base": asked(base),
-        "domain:query_truth": asked(truth),
-        "domain:query_any_candidate": asked(current) | asked(base) | asked(truth),
+        "value:truth_source_present": F.col("_truth_source") != "",
+        "value:prediction_present": F.col("_prediction") != "",
+        "domain:current_present": host("current"),
+        "domain:base_present": host("base"),
+        "domain:truth_present": host("truth"),
+        "domain:query_current": asked("current"),
+        "domain:query_base": asked("base"),
+        "domain:query_truth": asked("truth"),
+        "domain:query_any_candidate": asked("current") | asked("base") | asked("truth"),
     }
     pairs += [(F.lit(k), yes(v)) for k, v in named.items()]
     pairs += [(F.lit("value:current_len_norm"), 1.0 / (1.0 + F.length(current))), (F.lit("value:base_len_norm"), 1.0 / (1.0 + F.length(base)))]
@@ -243,13 +251,14 @@ def balanced_queue(rows: DataFrame, positives: DataFrame) -> DataFrame:
     keys = ["id", "attribute", "layer", "query"]
     hits = positives.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_y", F.lit(1))
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    tagged = rows.join(hits, same[0] & same[1] & same[2] & same[3], "left").withColumn("label", F.coalesce("_y", F.lit(0)))
+    tagged = rows.join(hits, same[0] & same[1] & same[2] & same[3], "left").withColumn("label", F.coalesce("_y", F.lit(0))).drop("_y", *[f"_{k}" for k in keys])
     counts = tagged.groupBy(F.col("attribute").alias("_a")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     counts = counts.filter("pos > 0 AND neg > 0").withColumn("take", F.least("neg", F.greatest(F.col("pos") * 20, F.lit(200))))
+    counts = counts.withColumn("times", F.greatest(F.lit(1), F.floor(F.col("take") / F.col("pos")).cast("int")))
     order = Window.partitionBy("attribute", "label").orderBy(*keys)
-    out = tagged.join(counts, F.col("attribute") == F.col("_a")).withColumn("_r", F.row_number().over(order)).filter((F.col("label") == 1) | (F.col("_r") <= F.col("take")))
-    times = F.when(F.col("label") == 1, F.greatest(F.lit(1), F.floor(F.col("take") / F.col("pos")).cast("int"))).otherwise(1)
-    features = conflict_features()
-    out = out.withColumn("_t", F.explode(F.sequence(F.lit(1), times)))
-    rank = F.row_number().over(Window.partitionBy("attribute").orderBy(F.desc("label"), "_r", "_t"))
-    return out.select(F.col("attribute").alias("key"), rank.alias("ordinal"), features.alias("features"), "label")
+    placed = tagged.withColumn("_r", F.row_number().over(order)).join(F.broadcast(counts), F.col("attribute") == F.col("_a"))  # a row per attribute
+    kept = with_conflict_features(placed.filter((F.col("label") == 1) | (F.col("_r") <= F.col("take"))))
+    # A positive's copies follow each other, and negatives follow all copies: ranks need no second sort.
+    out = kept.withColumn("_t", F.explode(F.sequence(F.lit(1), F.when(F.col("label") == 1, F.col("times")).otherwise(1))))
+    rank = F.when(F.col("label") == 1, (F.col("_r") - 1) * F.col("times") + F.col("_t")).otherwise(F.col("pos") * F.col("times") + F.col("_r"))
+    return out.select(F.col("attribute").alias("key"), rank.alias("ordinal"), "features", "label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -388,7 +389,9 @@ def audit_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _queue(spark: SparkSession, sf: str) -> DataFrame:
-    return queryplan.conflict_queries(policies.conflict_rows(policies.evaluation_rows(fixtures.labelled(spark, sf), ["hybrid"])), 6)
+    # Pairs are few bytes and much work each: they are dealt out, not read by the one task of a small file.
+    pairs = fixtures.pairs(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return queryplan.conflict_queries(policies.conflict_rows(policies.evaluation_rows(policies.long_pairs(pairs), ["hybrid"])), 6)
 
 
 _v = "CASE WHEN current_value <> '' THEN current_value ELSE base_value END"
@@ -679,7 +682,9 @@ def reranker_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("priority_model")
 def priority_model(spark: SparkSession, sf: str) -> DataFrame:
-    queue = _queue(spark, sf)
+    # Read by the positives, the counts and the examples: made once, on the executors' disks.
+    queue = _queue(spark, sf).persist(StorageLevel.DISK_ONLY)
+    queue.count()  # else stages that start together each make it
     hits = queue.filter("layer = 'official' AND position < 2").select("id", "attribute", "layer", "query")
     return rerank.train(rerank.balanced_queue(queue, hits), epochs=2, learning_rate=0.12, l2=0.001).select("key", "bias", F.map_keys("weights").alias("features"))
 

@@ -153,6 +153,19 @@ def test_training_follows_order(spark):
     assert {r["ordinal"]: r["p"] > 0.5 for r in p} == {0: False, 1: True}
 
 
+def test_queue_is_balanced_and_its_texts_are_read_once(spark):
+    rows = [("a", "b", "name", "low", layer, i, f"q{i} www.x.com", "official_site", f"https://www.x.com/{i}", "y.com", "x", "current", "x") for i, layer in enumerate(["official", "official", "freshness", "freshness", "fallback", "fallback", "fallback"])]
+    names = "id base_id attribute priority layer position query preferred_sources current_value base_value truth truth_source prediction".split()
+    queue = spark.createDataFrame(rows, ", ".join(f"{n} {'int' if n == 'position' else 'string'}" for n in names))
+    queue = queue.unionByName(queue.withColumn("attribute", F.lit("phone")))
+    made = rerank.balanced_queue(queue, queue.filter("layer = 'official' AND attribute = 'name'"))
+    got = [(r["ordinal"], r["label"], r["features"]) for r in made.orderBy("ordinal").collect()]
+    assert {r["key"] for r in made.collect()} == {"name"} and [(o, y) for o, y, _ in got] == [(i, int(i <= 4)) for i in range(1, 10)]
+    assert got[0][2] == got[1][2] != got[8][2] and got[0][2]["domain:query_current"] == got[0][2]["domain:query_any_candidate"] == got[0][2]["domain:base_present"] == 1 and "domain:query_base" not in got[0][2]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 3  # one host for each of three values
+
+
 def test_labels(spark):
     rows = [("p1", "b1", "web", "left", 0), ("p1", "b1", "website", "right", 1), ("p1", "b1", "fax", "left", 2), ("p2", "", "names", "both", 3), ("p2", "", "phone", "none", 4)]
     got = {r["id"]: r for r in labels.attribute_labels(spark.createDataFrame(rows, "pair_id string, base_id string, attribute string, final_decision string, ordinal int")).collect()}
