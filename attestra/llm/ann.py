@@ -223,18 +223,25 @@ def _pack(table: pa.Table) -> pa.Table:
 
 
 def _search(k: int, beam: int):
+    """Searches shards one after the other: a shard's graph comes first, then its blocks of queries."""
+
     def run(batches):
+        shard = None
         for batch in batches:
             for r in range(len(batch)):
                 get = lambda name: batch.column(name)[r]  # noqa: E731, B023
-                dim, n = get("dim").as_py(), get("n").as_py()
-                ids = np.frombuffer(get("ids").as_buffer(), np.int64)
-                v = np.frombuffer(get("vectors").as_buffer(), np.float64).reshape(n, dim)
-                edges = np.frombuffer(get("edges").as_buffer(), np.int32).reshape(n, get("width").as_py())
+                if get("ids").is_valid:
+                    shard, dim, n = get("shard").as_py(), get("dim").as_py(), get("n").as_py()
+                    ids = np.frombuffer(get("ids").as_buffer(), np.int64)
+                    v = np.frombuffer(get("vectors").as_buffer(), np.float64).reshape(n, dim)
+                    edges = np.frombuffer(get("edges").as_buffer(), np.int32).reshape(n, get("width").as_py())
+                    graph = Graph(_unit(v), edges, get("entry").as_py())
+                    norms = np.linalg.norm(v, axis=1)
+                    continue
+                if get("shard").as_py() != shard:  # no points of this length and shard
+                    continue
                 query_ids = np.frombuffer(get("query_ids").as_buffer(), np.int64)
                 q = np.frombuffer(get("queries").as_buffer(), np.float64).reshape(-1, dim)
-                graph = Graph(_unit(v), edges, get("entry").as_py())
-                norms = np.linalg.norm(v, axis=1)
                 for i in range(0, len(q), 512):
                     part = q[i : i + 512]
                     found, _ = graph.search(_unit(part), beam)
@@ -288,9 +295,11 @@ def nearest(vectors: DataFrame, k: int, is_query: Column, key: str = "vec_id", v
     blocks = max(1, -(-queries.select("point").distinct().count() // QUERY_BLOCK))
     packed = distinct.select((F.size("vector") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), F.lit(blocks))).cast("long").alias("block"), F.size("vector").cast("long").alias("dim"), "id", "vector")
     packed = materialize(packed.groupBy("block").applyInArrow(_pack, "block long, dim long, query_ids binary, queries binary"), "ann-blocks")
-    # A stated set of queries against all shards, block by block.
+    # A stated set of queries against all shards, block by block.  Graphs and blocks are dealt by shard, not joined: a join
+    # could broadcast either through the driver, and would repeat a graph for each block.
     wanted = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("dim") * F.lit(1 << 32) + F.col("shard"))
-    meet = graphs.join(wanted.drop("dim", "block"), "shard").select("dim", "n", "entry", "width", "ids", "vectors", "edges", "query_ids", "queries")
+    meet = graphs.withColumn("block", F.lit(-1).cast("long")).unionByName(wanted.drop("dim"), allowMissingColumns=True)
+    meet = meet.repartition("shard").sortWithinPartitions("shard", "block")
     hits = materialize(meet.mapInArrow(_search(k + 1, beam), "query long, id long, score double"), "ann-hits")
     release(spark)
 

@@ -287,6 +287,22 @@ def test_recall_over_shards(spark):
     assert np.mean([len(set(want[q]) & set(got[q])) / 5 for q in want]) >= 0.9
 
 
+def test_graphs_and_queries_do_not_pass_the_driver(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name, *args, materialize=ann.materialize):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name, *args)
+
+    monkeypatch.setattr(ann, "materialize", kept)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(3000)] + [(i, rng.normal(size=5).tolist()) for i in range(3000, 3100)]
+    want, got = brute_nearest(rows, 5), search(spark, rows, shard_points=900)
+    assert set(got) == set(want) and np.mean([len(set(want[q]) & set(got[q])) / 5 for q in want]) >= 0.9
+    assert "Join" not in plans["ann-hits"] and "Broadcast" not in plans["ann-hits"]
+
+
 def test_few_copies_and_unusable_vectors(spark):
     hot = [0.5, 0.25, -1.0]
     rows = [(i, hot) for i in range(0, 200, 2)] + [(1, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0])]
