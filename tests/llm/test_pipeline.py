@@ -54,3 +54,11 @@ def test_extra_columns_clash_with_no_helper(spark, sf):
     assert 20 in found and not {21, 22, 23, 44} & set(found) and {30, 31, 40, 41, 42, 43} <= set(found)
     out = corpus_pipeline.STAGES[-1][1](spark, rows, sf)
     assert out.columns == [*rows.columns, "_shard", "slot"] and {tuple(r)[:-2] for r in out.collect()} == whole
+
+
+def test_driver_returns_memory_outside_its_heap(spark):
+    import os
+
+    from attestra.llm import common
+
+    assert common.trim_driver(spark) or os.uname().sysname != "Linux"
