@@ -36,10 +36,14 @@ NUM, DEN = 75, 100
 COMMON = 24
 #: Rows of a round's tables that go to one file.
 ROUND_ROWS = 100_000
-#: Leaders per group and round.
-LEADERS = (1, 32, 256, 2048)
+#: Leaders per group and round, and whether they come from the group's largest component or from outside it.
+LEADERS = ((1, None), (8, True), (24, True), (32, False), (256, False), (2048, False))
 #: Rows a reducer holds before it lets go of signatures already known to be common.
 HELD_ROWS = 2_000_000
+#: Signatures of a partition, on average.
+PART_ROWS = 1_000_000
+#: Bytes of a signature within its partition.  Different ones that agree in them only make candidates more.
+SIG_BYTES = 5
 _LAST = (1 << 63) - 1
 
 
@@ -207,8 +211,45 @@ def _member_rows(batches):
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, [*left, *sketches(items, at)])], names=names)
 
 
-#: A parcel is what one block of texts sends to one partition: signatures, and runs of their classes.
-_PARCEL = "part int, sigs binary, classes binary, lengths binary"
+#: A parcel is what one block of texts sends to one partition: signatures of universe 0, then 1, each
+#: in the order of ``classes``, and how many each class has in either (a byte; longer runs are split).
+_PARCEL = "part int, sigs binary, classes binary, zeros binary, ones binary"
+
+
+def _cut(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Bytes of ``rows`` from each cut to the next."""
+    width = rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    buffers = [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, buffers)
+
+
+def pack_parcels(sig: np.ndarray, owner: np.ndarray, u: np.ndarray, c: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Parcels of one block: signatures ``sig`` of texts ``owner`` (of classes ``c``) in universes ``u``."""
+    part = (mix(sig) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort((part * 2 + u) * len(c) + owner, kind="stable")
+    runs, at = np.unique(part * len(c) + owner, return_inverse=True)
+    counts = [np.bincount(at[u == v], minlength=len(runs)) for v in (0, 1)]
+    pieces = np.maximum(-(-np.maximum(*counts) // 255), 1)
+    of = np.repeat(np.arange(len(runs)), pieces)
+    gone = 255 * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    counts = [np.clip(n[of] - gone, 0, 255).astype(np.uint8) for n in counts]
+    runs = runs[of]
+    full = np.unique(part)
+    cuts = np.r_[np.searchsorted(runs, full * len(c)), len(runs)]
+    short = sig[order].view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+    columns = [_cut(short, np.r_[np.searchsorted(part[order], full), len(sig)]), _cut(c[runs % max(len(c), 1)], cuts), *[_cut(n, cuts) for n in counts]]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *columns], names=["part", "sigs", "classes", "zeros", "ones"])
+
+
+def unpack_parcel(sigs: pa.Buffer, classes: pa.Buffer, zeros: pa.Buffer, ones: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signature, class, universe`` rows of a parcel."""
+    short = np.frombuffer(sigs, np.uint8).reshape(-1, SIG_BYTES)
+    sig = np.zeros((len(short), 8), np.uint8)
+    sig[:, :SIG_BYTES] = short
+    c = np.frombuffer(classes, np.int64)
+    counts = [np.frombuffer(n, np.uint8) for n in (zeros, ones)]
+    u = np.repeat(np.array([0, 1], np.int8), [int(n.sum(dtype=np.int64)) for n in counts])
+    return sig.view(np.int64)[:, 0], np.concatenate([np.repeat(c, n) for n in counts]), u
 
 
 def _parcels(parts: int):
@@ -222,27 +263,10 @@ def _parcels(parts: int):
                 c, _ = class_hashes(items, size)
                 real = np.flatnonzero(size)
                 found = []
-                for u, (which, band) in enumerate(universes(size[real])):
+                for v, (which, band) in enumerate(universes(size[real])):
                     owner, sig, _ = signatures(items, at, 0, real[which], band)
-                    found.append((sig, owner, np.full(len(sig), u, np.int64)))
-                sig, owner, u = (np.concatenate(x) for x in zip(*found, strict=True))
-                part = (mix(sig) % np.uint64(parts)).astype(np.int64)
-                run_id = owner * 2 + u
-                order = np.lexsort((run_id, part))
-                sig, run_id, part = sig[order], run_id[order], part[order]
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                full = np.flatnonzero(np.diff(cut))
-                out = [[], [], [], []]
-                for p in full.tolist():
-                    a, b = cut[p], cut[p + 1]
-                    heads = np.flatnonzero(np.r_[True, run_id[a + 1 : b] != run_id[a : b - 1]])
-                    ids = run_id[a:b][heads]
-                    out[0].append(p)
-                    out[1].append(sig[a:b].tobytes())
-                    out[2].append(c[ids >> 1].tobytes())
-                    out[3].append((np.diff(np.r_[heads, b - a]) * 2 + (ids & 1)).astype(np.uint32).tobytes())
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["part", "sigs", "classes", "lengths"])
+                    found.append((sig, owner, np.full(len(sig), v, np.int64)))
+                yield pack_parcels(*(np.concatenate(x) for x in zip(*found, strict=True)), c, parts)
 
     return run
 
@@ -272,6 +296,7 @@ def _groups(batches):
     kind = np.dtype([("s", np.int64), ("c", np.int64), ("u", np.int8)])
     held: list[np.ndarray] = []
     count = 0
+    limit = HELD_ROWS
     hot = np.empty(0, np.int64)
     skipped: list[np.ndarray] = []
 
@@ -282,12 +307,10 @@ def _groups(batches):
         return pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.list_(pa.int64())), pa.array(c), *counts], names=names)
 
     for batch in batches:
-        for sigs, classes, lengths in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-            rows = np.empty(len(sigs.as_buffer()) // 8, kind)
-            runs = np.frombuffer(lengths.as_buffer(), np.uint32)
-            rows["s"] = np.frombuffer(sigs.as_buffer(), np.int64)
-            rows["c"] = np.repeat(np.frombuffer(classes.as_buffer(), np.int64), runs >> 1)
-            rows["u"] = np.repeat((runs & 1).astype(np.int8), runs >> 1)
+        for parcel in zip(*batch.columns[1:], strict=True):
+            s, c, u = unpack_parcel(*(x.as_buffer() for x in parcel))
+            rows = np.empty(len(s), kind)
+            rows["s"], rows["c"], rows["u"] = s, c, u
             if len(hot):
                 known = np.isin(rows["s"], hot)
                 if known.any():
@@ -295,12 +318,13 @@ def _groups(batches):
                     rows = rows[~known]
             held.append(rows)
             count += len(rows)
-            if count > HELD_ROWS:
+            if count > limit:
                 rows, size = _settle(np.concatenate(held))
                 big = size > COMMON
                 hot = np.union1d(hot, rows["s"][big])
                 skipped.append(rows[big])
-                held, count = [rows[~big]], 0
+                held, count = [rows[~big]], int((~big).sum())
+                limit = max(HELD_ROWS, 2 * count)
         if sum(map(len, skipped)) > 1 << 20:
             yield skips(skipped)
             skipped = []
@@ -386,8 +410,8 @@ def _parts(rows: int) -> int:
 class Sets:
     """Shingle sets of classes, computed from one document's text of each when first wanted."""
 
-    def __init__(self, plain: DataFrame, classes: DataFrame):
-        self.plain, self.classes, self.known = plain, classes, None
+    def __init__(self, plain: DataFrame, classes: DataFrame, members: DataFrame):
+        self.plain, self.classes, self.members, self.known = plain, classes, members, None
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
         """``c, items`` of the classes ``wanted (c)`` and of all wanted before."""
@@ -396,9 +420,12 @@ class Sets:
             new = new.join(self.known.select("c"), "c", "left_anti")
         at = self.classes.join(new, "c").select("c", F.col("d.o").alias("_o"), F.col("d.t").alias("_t"))
         at = materialize(at, "wanted")
-        if at.count():
-            rows = self.plain.join(_few(at), (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))).select("c", "text").mapInArrow(_set_rows, "c long, items binary")
-            rows = materialize(rows.dropDuplicates(["c"]), "sets")
+        if n := at.count():
+            same = (F.col("o") == F.col("_o")) & (F.col("t") == F.col("_t"))
+            rows = self.plain.join(_few(at), same).select("c", "text").mapInArrow(_set_rows, "c long, items binary")
+            if self.members.select("o", "t").join(_few(at.select("_o", "_t")), same).count() > n:  # repeated rows
+                rows = rows.dropDuplicates(["c"])
+            rows = materialize(rows, "sets")
             discard(rows.sparkSession, at)
             self.known = rows if self.known is None else self.known.unionByName(rows)
         return self.known
@@ -418,7 +445,7 @@ class Sets:
         some = ends(pairs, self.classes.select("c", "bits", "n"))
         x = some.select(F.col("c").alias("_a"), F.col("bits").alias("x"), F.col("n"))
         y = some.select(F.col("c").alias("_b"), F.col("bits").alias("y"), F.col("n").alias("m"))
-        near = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "x", "y", "n", "m")
+        near = _few(pairs).join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "x", "y", "n", "m")
         near = materialize(near.mapInArrow(_plausible, "a long, b long"), "plausible", parts)
         if near.isEmpty():
             return near
@@ -426,32 +453,86 @@ class Sets:
         some = ends(near, sets)
         x = some.select(F.col("c").alias("_a"), F.col("items").alias("x"))
         y = some.select(F.col("c").alias("_b"), F.col("items").alias("y"))
-        full = near.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
+        full = _few(near).join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
         links = materialize(full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links", parts)
         discard(spark, near)
         return links
 
 
+def _apart(facts: list[str]):
+    """Bits in which the sketches of two rows differ."""
+    bits = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in facts]
+    return sum(bits[1:], bits[0])
+
+
+def _near(sets: Sets):
+    """Facts of classes, and when two rows of them (the second's with underscores) may be similar."""
+    facts = sets.classes.select(F.col("c").alias("_c"), "n", *_SKETCH)
+    return facts, (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n")) & (7 * _apart(_SKETCH) <= F.col("n") + F.col("_n"))
+
+
+def _new_links(pairs: DataFrame, done: DataFrame | None, sets: Sets, labels: DataFrame | None, links: DataFrame | None):
+    """``labels``, ``links`` and the pairs compared, after ``pairs (a, b)`` that sizes and sketches allow.
+
+    Pairs are dealt by ``a``, told apart there and meet the facts of ``a`` in place.
+    """
+    facts, near = _near(sets)
+    pairs = pairs.repartition("a").distinct()
+    if done is not None:
+        pairs = pairs.join(_few(done), ["a", "b"], "left_anti")
+    met = pairs.join(facts, F.col("a") == F.col("_c")).drop("_c")
+    other = facts.select(*[F.col(c).alias(f"_{c.lstrip('_')}") for c in facts.columns])
+    pairs = materialize(met.join(other, (F.col("b") == F.col("_c")) & near).select("a", "b"), "pairs")
+    found = sets.verify(pairs)
+    if not found.isEmpty():
+        links = found if links is None else links.unionByName(found)
+        labels = merge_labels(labels, found, links)
+    release(pairs.sparkSession)
+    return labels, links, pairs
+
+
+def _others():
+    """``members`` but the first."""
+    return F.slice("members", F.lit(2), F.size("members"))
+
+
+def _connect_stars(once: DataFrame, sets: Sets) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """Compare the first class of each group (``members``, at most ``COMMON``) with its others."""
+    pairs = once.select(F.col("members")[0].alias("a"), F.explode(_others()).alias("b"))
+    return _new_links(pairs, None, sets, None, None)
+
+
+def _connect_small(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: DataFrame | None, done: DataFrame | None):
+    """Compare all classes of each group ``(g, c)`` of at most ``COMMON`` that are not connected yet: ``labels, links``."""
+    k = F.col("c").alias("k")
+    if labels is not None:
+        at = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        groups, k = groups.join(_few(at), F.col("c") == F.col("_n"), "left"), F.coalesce("_l", "c").alias("k")
+    whole = groups.select("g", "c", k).groupBy("g").agg(F.collect_list(F.struct("c", "k")).alias("all"), F.min("k").alias("low"), F.max("k").alias("high"))
+    whole = materialize(whole.filter("low < high").select(F.array_sort("all").alias("all")).distinct(), "active")
+    first = whole.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+    pairs = first.filter("x.c < y.c AND x.k != y.k").select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    labels, links, _ = _new_links(pairs, done, sets, labels, links)
+    discard(sets.classes.sparkSession, whole)
+    return labels, links
+
+
 def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
     """Verify all links within ``groups (g, c)`` between classes not connected yet.
 
     Each round some classes of every group that spans two components lead: they are compared with
     all others of other components, then leave the group.  The first round has one leader, a star;
-    later leaders come from outside the group's largest component only.  Pairs whose sizes or
+    then a few of the group's largest component meet those outside it, which connects most of them
+    at little cost; later leaders come from outside it only.  Pairs whose sizes or
     sketches differ too much never leave the join.  Ends when no group spans two components.
     """
     spark = groups.sparkSession
-    facts = sets.classes.select(F.col("c").alias("_c"), "n", *_SKETCH)
-    bits = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in _SKETCH]
-    apart = bits[0]
-    for b in bits[1:]:
-        apart = apart + b
-    near = (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n")) & (7 * apart <= F.col("n") + F.col("_n"))
+    facts, near = _near(sets)
     done = None  # pairs compared so far
     turn = 0
     while True:
         parts = _parts(groups.count())
-        lead = LEADERS[min(turn, len(LEADERS) - 1)]
+        lead, inside = LEADERS[min(turn, len(LEADERS) - 1)]
         turn += 1
         if labels is None:
             tagged = groups.select("g", "c", F.col("c").alias("k"))
@@ -466,7 +547,7 @@ def _connect(groups: DataFrame, sets: Sets, labels: DataFrame | None, links: Dat
         release(spark)
         if active.isEmpty():
             return labels, links
-        may = active if turn == 1 else active.filter("k != base")
+        may = active if inside is None else active.filter("k = base" if inside else "k != base")
         leaders = may.withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy("c"))).filter(F.col("_r") <= lead)
         leaders = materialize(leaders.select("g", "c", "k"), "leaders", parts)
         left = _few(leaders).join(facts, F.col("c") == F.col("_c")).select(F.col("g").alias("_g"), F.col("c").alias("_c"), F.col("k").alias("_k"), F.col("n").alias("_n"), *[F.col(b).alias(f"_{b}") for b in _SKETCH])
@@ -561,14 +642,17 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     if not classes.filter("low < high").isEmpty():
         raise ValueError("two different sets have one 64-bit class hash; change the hash constants")
     total = classes.agg(F.sum(F.col("f0") + F.col("f1")).alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000 + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_ROWS + 1)
     parcels = plain.filter(F.length("text") > 0).select("text").mapInArrow(_parcels(parts), _PARCEL)
     grouped = materialize(parcels.repartitionById(parts, F.col("part")).mapInArrow(_groups, _GROUPS), "grouped")
     release(spark)
 
-    sets = Sets(plain, classes)
-    once = grouped.filter("members IS NOT NULL").select("members").distinct()
-    labels, links = _connect(materialize(once.select(F.xxhash64("members").alias("g"), F.explode("members").alias("c")).distinct(), "groups"), sets, None, None)
+    sets = Sets(plain, classes, members)
+    once = materialize(grouped.filter("members IS NOT NULL").select("members").distinct(), "groups")
+    labels, links, done = _connect_stars(once, sets)
+    rest = once.filter(F.size("members") > 2).select(F.xxhash64("members").alias("g"), F.explode(_others()).alias("c"))
+    labels, links = _connect_small(rest, sets, labels, links, done)
+    discard(spark, once)
 
     # Allocation: which sets have too few unskipped segments left?  The others are safe.
     skipped = grouped.filter("c IS NOT NULL").groupBy(F.col("c").alias("_c")).agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
@@ -578,7 +662,7 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     if not unsafe.isEmpty():
         groups, unsafe = _by_deletion(unsafe, sets)
         unsafe = materialize(unsafe, "unsafe")
-        labels, links = _connect(materialize(groups, "groups"), sets, labels, links)
+        labels, links = _connect_small(groups, sets, labels, links, None)
         if not unsafe.isEmpty():
             labels, links = _connect(materialize(_by_rarest(unsafe, sets), "groups"), sets, labels, links)
     return members, labels, links

@@ -124,3 +124,32 @@ def test_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 200)]
     labels = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {labels[i] for i in range(61)} == {0} and {labels[100 + i] for i in range(50)} == {100} and labels.get(200, 200) == 200
+
+
+def test_parcels_are_short_and_whole():
+    """Signatures travel in less than eight bytes each, also where a text sends few to a partition or very many."""
+    texts = [prose(s, 400) for s in range(30)] + [prose(99, 9000), ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    expected = []
+    for _, data, offsets in text_blocks(batch.column(0)):
+        items, at = jaccard.shingle_sets(data, offsets)
+        c, _ = jaccard.class_hashes(items, np.diff(at))
+        real = np.flatnonzero(np.diff(at))
+        for u, (which, band) in enumerate(jaccard.universes(np.diff(at)[real])):
+            owner, sig, _ = jaccard.signatures(items, at, 0, real[which], band)
+            expected += [(s % (1 << 8 * jaccard.SIG_BYTES), k, u) for s, k in zip(sig.tolist(), c[owner].view(np.int64).tolist(), strict=True)]
+    for parts in (3, 50):
+        packed = list(jaccard._parcels(parts)([batch]))
+        assert sum(len(v.as_buffer()) for p in packed for column in p.columns[1:] for v in column) < 8 * len(expected)
+        found = [row for p in packed for parcel in zip(*p.columns[1:], strict=True) for row in zip(*map(np.ndarray.tolist, jaccard.unpack_parcel(*(v.as_buffer() for v in parcel))), strict=True)]
+        assert sorted(found) == sorted(expected)
+
+
+def test_groups_of_all_sizes(spark):
+    """Groups are one row each: their first class is compared with the others, then those among themselves."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in (2, 3, 4, 7, 24, 25, 30):
+        shared = prose(60 + g, 60)
+        rows += [(100 * g + i, edited(f"{shared} {prose(800 + 10 * g + i // 2, 15)}", rng, i % 3), "s") for i in range(g)]
+    assert got(jaccard.group_near_duplicates(docs(spark, rows + rows[:5]), keep=["doc_id"])) == brute(rows + rows[:5])
