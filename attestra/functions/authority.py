@@ -125,7 +125,11 @@ def look_up(key: Column, table: dict, default: float) -> Column:
 
 def classify_source(url: Column) -> Column:
     """Kind of source a URL points to; the first rule that holds decides."""
-    host, path = N.url_host(url), N.url_path(url)
+    return classify_site(N.url_host(url), N.url_path(url))
+
+
+def classify_site(host: Column, path: Column) -> Column:
+    """``classify_source`` of a URL whose host and path are columns already."""
     below = lambda *d: host.rlike(N.one_of_domains(d))
     google = host.isin("google.com", "maps.google.com") | host.endswith(".google.com")
     osm = host.isin("openstreetmap.org", "osm.org") | host.endswith(".openstreetmap.org")
@@ -143,8 +147,11 @@ def classify_source(url: Column) -> Column:
 
 def rank_source(url: Column, page_text: Column, query: Column) -> Column:
     """Authority of a fetched page: its source's kind, plus what its path, text and query tell."""
-    kind, host, path = classify_source(url), N.url_host(url), N.url_path(url)
-    words, asked = F.lower(N.text(page_text)), F.lower(N.text(query))
+    return rank_page(classify_source(url), N.url_host(url), N.url_path(url), F.lower(N.text(page_text)), F.lower(N.text(query)))
+
+
+def rank_page(kind: Column, host: Column, path: Column, words: Column, asked: Column) -> Column:
+    """``rank_source`` where what it reads of a page is in columns already."""
     add = lambda condition, x: F.when(condition, x).otherwise(0.0)
     official = kind == "official_site"
     bonus = add(official & (host != ""), 0.03)
@@ -187,8 +194,16 @@ def evidence_score(source_type: Column, days: Column, zombie: Column, identity:
 
 def search_score(url: Column, title: Column, snippet: Column, query: Column, layer: Column, days: Column, zombie: Column, identity: Column, model: Column | None = None) -> Column:
     """Score of a search result: rank, freshness and layer; with a model's score, 0.4 and 0.6 of each."""
-    words = F.concat_ws(" ", F.nullif(N.text(title), F.lit("")), F.nullif(N.text(snippet), F.lit("")))
-    score = adjusted_score(rank_source(url, words, query), days, zombie, identity) + look_up(layer, LAYER_BONUS, 0.0)
+    return ranked_score(rank_source(url, search_words(title, snippet), query), layer, days, zombie, identity, model)
+
+
+def search_words(title: Column, snippet: Column) -> Column:
+    return F.concat_ws(" ", F.nullif(N.text(title), F.lit("")), F.nullif(N.text(snippet), F.lit("")))
+
+
+def ranked_score(rank: Column, layer: Column, days: Column, zombie: Column, identity: Column, model: Column | None = None) -> Column:
+    """``search_score`` of a page whose rank is a column already."""
+    score = adjusted_score(rank, days, zombie, identity) + look_up(layer, LAYER_BONUS, 0.0)
     if model is not None:
         score = score * 0.4 + model * 0.6
     return F.least(F.lit(1.0), score)

@@ -37,10 +37,17 @@ def evidence_value() -> Column:
 
 
 def score_pages(pages: DataFrame) -> DataFrame:
-    """Pages with ``score``, ``matches`` (value equals gold), rounded so that ties do not hang on rounding."""
-    score = A.search_score(F.col("url"), F.col("title"), F.col("page_text"), F.col("query"), F.col("layer"), F.col("recency_days"), F.col("zombie_score"), F.col("identity_change_score"))
+    """Pages with ``score``, ``matches`` (value equals gold), rounded so that ties do not hang on rounding.
+
+    What a rank mentions many times is computed in steps of its own.
+    """
+    steps = {"_host": N.url_host(F.col("url")), "_path": N.url_path(F.col("url")), "_words": F.lower(A.search_words(F.col("title"), F.col("page_text"))), "_asked": F.lower(N.text(F.col("query")))}
+    rank = A.rank_page(*map(F.col, ("_kind", *steps)))
+    score = A.ranked_score(F.col("_rank"), F.col("layer"), F.col("recency_days"), F.col("zombie_score"), F.col("identity_change_score"))
     matches = N.normalize(F.col("attribute"), page_value()) == N.normalize(F.col("attribute"), F.col("gold_value"))
-    return pages.withColumn("score", F.when(F.col("page").isNotNull(), F.round(score, 9))).withColumn("matches", F.col("page").isNotNull() & matches)
+    made = pages.withColumns(steps).withColumn("_kind", A.classify_site(F.col("_host"), F.col("_path"))).withColumn("_rank", rank)
+    made = made.withColumn("score", F.when(F.col("page").isNotNull(), F.round(score, 9))).withColumn("matches", F.col("page").isNotNull() & matches)
+    return made.drop(*steps, "_kind", "_rank")
 
 
 def best_pages(scored: DataFrame) -> DataFrame:
@@ -269,17 +276,35 @@ def ranker_rows(scored: DataFrame, threshold: float = USEFUL) -> DataFrame:
 def holdout(episodes: DataFrame, fraction: float = 0.25) -> DataFrame:
     """Episodes with ``held_out``: the first share of them in order of the SHA-1 of case and attribute.
 
-    At least one and never all; the share is kept between 0.05 and 0.9.  The bound is the k-th
-    digest, found by a top-k; no episode is numbered.
+    At least one and never all; the share is kept between 0.05 and 0.9.
+    """
+    return episodes.select(*EPISODE).distinct().select(*EPISODE, _digest().alias("digest"), held_out(episodes, fraction).alias("held_out"))
+
+
+def _digest() -> Column:
+    return F.sha1(F.concat(F.col("case_id"), F.char(F.lit(0)), F.col("attribute")).cast("binary"))
+
+
+def held_out(episodes: DataFrame, fraction: float = 0.25) -> Column:
+    """Whether a row's episode is held out, as an expression over any rows with ``case_id, attribute``.
+
+    The bound is the k-th digest: episodes are counted by the digests' beginnings, and only those of
+    the bound's beginning are ordered.
     """
-    keyed = episodes.select(*EPISODE).distinct().withColumn("digest", F.sha1(F.concat(F.col("case_id"), F.char(F.lit(0)), F.col("attribute")).cast("binary")))
-    n = keyed.count()
+    keyed = episodes.select(*EPISODE).distinct().withColumn("digest", _digest())
+    start = F.substring("digest", 1, 3)
+    counts = {r["s"]: r["n"] for r in keyed.groupBy(start.alias("s")).agg(F.count("*").alias("n")).collect()}  # 4,096 rows at most
+    n = sum(counts.values())
     if n < 2:
-        return keyed.select(*EPISODE, "digest", F.lit(False).alias("held_out"))
+        return F.lit(False)
     k = min(n - 1, max(1, round(n * min(0.9, max(0.05, fraction)))))
-    edge = keyed.orderBy("digest", *EPISODE).limit(k).agg(F.max(F.struct("digest", *EPISODE)).alias("m")).first()["m"]
+    for s in sorted(counts, key=lambda s: s or ""):
+        if k <= counts[s]:
+            break
+        k -= counts[s]
+    edge = keyed.filter(start.eqNullSafe(F.lit(s))).orderBy("digest", *EPISODE).limit(k).agg(F.max(F.struct("digest", *EPISODE)).alias("m")).first()["m"]
     bound = F.struct(*[F.lit(edge[c]).alias(c) for c in ("digest", *EPISODE)])
-    return keyed.select(*EPISODE, "digest", (F.struct("digest", *EPISODE) <= bound).alias("held_out"))
+    return F.struct(_digest().alias("digest"), *EPISODE) <= bound
 
 
 def nest(pages: DataFrame) -> DataFrame:

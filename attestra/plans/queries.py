@@ -677,7 +677,8 @@ def gap_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("reranker_scores")
 def reranker_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return rerank.compare(_scored(spark, sf), epochs=3)
+    pages = fixtures.evidence(spark, sf)
+    return rerank.compare(replay.score_pages(fixtures.evidence(spark, sf, in_order=True)), epochs=3, episodes=pages)
 
 
 @query("priority_model")

@@ -228,6 +228,46 @@ def test_training_passes_see_every_key_alone(spark):
         assert got[k][0] == pytest.approx(bias) and got[k][1] == pytest.approx(w)
 
 
+def test_reranked_pages_are_dealt_once_and_equal_plain_training(spark, sf):
+    from attestra.plans import fixtures
+
+    def sigmoid(model, features):
+        z = model[0] + sum(model[1].get(k, 0.0) * v for k, v in features.items())
+        return 1 / (1 + math.exp(-z))
+
+    scored = replay.score_pages(fixtures.evidence(spark, sf, in_order=True))
+    pages = rerank.with_page_features(scored.filter("page IS NOT NULL")).join(replay.holdout(scored), ["case_id", "attribute"])
+    rows = sorted(pages.select(*rerank.ORDER, "held_out", "features", "matches", "score").collect())
+    bias, w = 0.0, {}
+    for _ in range(2):
+        for r in rows:
+            if not r["held_out"]:
+                off = int(r["matches"]) - sigmoid((bias, w), r["features"])
+                bias += 0.1 * off
+                w |= {k: w.get(k, 0.0) + 0.1 * (off * v - 0.001 * w.get(k, 0.0)) for k, v in r["features"].items()}
+    want = {tuple(r[c] for c in rerank.ORDER): (r["matches"], r["score"], min(1.0, 0.4 * r["score"] + 0.6 * sigmoid((bias, w), r["features"]))) for r in rows if r["held_out"]}
+    for given in (scored, replay.score_pages(fixtures.evidence(spark, sf))):
+        got = {tuple(r[c] for c in rerank.ORDER): (r["matches"], r["score"], r["reranked"]) for r in rerank.compare(given, epochs=2, episodes=fixtures.evidence(spark, sf)).collect()}
+        assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2], abs=1e-12) for k in want)
+    place = [F.col(c).alias(f"_{c}") for c in rerank.ORDER]
+    blocks = rerank._blocks(rerank._packed(scored).select(*place, F.concat_ws("\n", *rerank._PATTERN).alias("pattern"), "values", F.lit(1.0).alias("label")))
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # pages are sorted where the window left them
+
+
+def test_reranking_needs_both_classes_and_two_episodes(spark, sf):
+    from attestra.plans import fixtures
+
+    scored = replay.score_pages(fixtures.evidence(spark, sf))
+    assert rerank.compare(scored.withColumn("matches", F.lit(False)), epochs=1).count() == 0
+    assert rerank.compare(scored.filter(F.col("case_id") == scored.first()["case_id"]), epochs=1).count() == 0
+
+
+def test_strip_is_that_of_unicode(spark):
+    texts = ["", " ", "a", " a", "a\u2003", "\ta b\n", "\u00a0x\u0085", "a \n", "\u2028"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", N.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("r")).collect()
+    assert all(r["s"] == r["r"] == texts[r["i"]].strip() for r in got)
+
+
 def test_matching_of_large_blocks_is_exact_and_tries_few_names(spark, monkeypatch):
     import random
     from difflib import SequenceMatcher
